@@ -6,7 +6,8 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _written: list[tuple[SparkSession, str]] = []
 
@@ -72,3 +73,8 @@ def fresh(taken, *names: str) -> list[str]:
         low.add(n.lower())
         out.append(n)
     return out
+
+
+def row_key(doc_id: str = "doc_id", text: str = "text") -> tuple[Column, Column]:
+    """Two hashes, 96 bits together and never null, that stand for a row's id and text."""
+    return F.xxhash64(doc_id, text).alias("k1"), F.hash(text, doc_id).alias("k2")
