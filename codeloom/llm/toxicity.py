@@ -155,7 +155,7 @@ def train(
     least_z: float = 3.0,
     l2: float = 1e-3,
     steps: int = 150,
-    threshold: float = 0.5,
+    threshold: float = 0.4,
     seed: int = 7,
 ) -> Model:
     """Fits the classifier on a bounded sample of the labelled documents.
