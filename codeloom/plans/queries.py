@@ -1,2 +1,243 @@
-QUERIES: dict = {}
-SQL: dict = {}
+"""The engine's operators on the driver's tables, over whole tables, with the same query in SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from codeloom import schema
+from codeloom.functions import names
+from codeloom.operators import fulltext, resolve, traverse, upsert
+from codeloom.tools import GraphTools
+
+
+def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def business_graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The star schema as a code graph: regions are namespaces, nations classes, suppliers and parts members, supply a call."""
+    r, n, s, p, li = (_t(spark, d, x) for x in ("region", "nation", "supplier", "part", "lineitem"))
+    rid, nid = F.concat(F.lit("r"), F.col("r_regionkey").cast("string")), F.concat(F.lit("n"), F.col("n_nationkey").cast("string"))
+    sid, pid = F.concat(F.lit("s"), F.col("s_suppkey").cast("string")), F.concat(F.lit("p"), F.col("p_partkey").cast("string"))
+    rows = [
+        r.select(rid.alias("uid"), F.lit("NamespaceNode").alias("type"), F.lit("region").alias("source"), F.col("r_name").alias("name"), F.col("r_name").alias("qualified_name"), F.lit("namespace").alias("kind")),
+        n.join(r, F.col("n_regionkey") == F.col("r_regionkey")).select(nid.alias("uid"), F.lit("ClassNode").alias("type"), F.lit("nation").alias("source"), F.col("n_name").alias("name"), F.concat_ws("::", "r_name", "n_name").alias("qualified_name"), F.lit("class").alias("kind")),
+        s.select(sid.alias("uid"), F.lit("MethodNode").alias("type"), F.lit("supplier").alias("source"), F.col("s_name").alias("name"), F.col("s_name").alias("qualified_name"), F.lit("function").alias("kind")),
+        p.select(pid.alias("uid"), F.lit("FunctionNode").alias("type"), F.lit("part").alias("source"), F.col("p_name").alias("name"), F.concat_ws("::", "p_brand", "p_name").alias("qualified_name"), F.col("p_type").alias("kind")),
+    ]
+    links = [
+        n.select(F.concat(F.lit("r"), F.col("n_regionkey").cast("string")).alias("src_uid"), nid.alias("dst_uid"), F.lit("COMPOSES").alias("rel_type")),
+        s.select(F.concat(F.lit("n"), F.col("s_nationkey").cast("string")).alias("src_uid"), sid.alias("dst_uid"), F.lit("COMPOSES").alias("rel_type")),
+        li.select(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("src_uid"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("dst_uid"), F.lit("INVOKES").alias("rel_type")).distinct(),
+    ]
+    nodes, edges = (schema.conform(x[0], ddl) for x, ddl in ((rows, schema.NODES), (links, schema.EDGES)))
+    for x in rows[1:]:
+        nodes = nodes.unionByName(schema.conform(x, schema.NODES))
+    for x in links[1:]:
+        edges = edges.unionByName(schema.conform(x, schema.EDGES))
+    return nodes, edges
+
+
+def _tools(spark: SparkSession, d: str) -> GraphTools:
+    return GraphTools(*business_graph(spark, d))
+
+
+def gr10_list_sources(spark, d):
+    return _tools(spark, d).list_sources()
+
+
+def gr18_statistics(spark, d):
+    return _tools(spark, d).get_statistics()
+
+
+def gr13_find_class(spark, d):
+    return _tools(spark, d).find_class("1", exact=False).select("name", "qualified_name", "kind")
+
+
+def gr14_find_function(spark, d):
+    return _tools(spark, d).find_function("Supplier", exact=False).select("name", "qualified_name", "class_name")
+
+
+def gr7_compound(spark, d):
+    c = GraphTools(*business_graph(spark, d))
+    m = c.members().select(F.col("uid").alias("dst_uid"), F.col("name").alias("member_name"))
+    own = c.compounds().select(F.col("uid").alias("src_uid"), "qualified_name")
+    rows = own.join(c.rel("COMPOSES").join(m, "dst_uid").select("src_uid", "member_name"), "src_uid", "left")
+    return rows.groupBy("qualified_name").agg(F.array_join(F.array_sort(F.collect_set("member_name")), ",").alias("members"))
+
+
+def gr8_members_ordered(spark, d):
+    li = _t(spark, d, "lineitem")
+    rows = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey")))
+    text = F.array_join(F.transform(rows, lambda s: F.concat_ws(":", s["l_linenumber"].cast("string"), s["l_partkey"].cast("string"))), ",")
+    return li.groupBy("l_orderkey").agg(text.alias("params"))
+
+
+def gr3_callers(spark, d):
+    t = _tools(spark, d)
+    calls = t.rel("CALLS").groupBy("dst_uid").agg(F.count("*").alias("callers"))
+    return t.members().join(calls, F.col("uid") == F.col("dst_uid")).select("qualified_name", "uid", "callers")
+
+
+def gr4_callees_of_class(spark, d):
+    t = _tools(spark, d)
+    own = t.owners().select(F.col("uid").alias("src_uid"), "compound_name")
+    return t.rel("INVOKES").join(own, "src_uid").groupBy("compound_name").agg(F.countDistinct("dst_uid").alias("callees"))
+
+
+def gr19_namespaces(spark, d):
+    return _tools(spark, d).list_classes("ASIA").select("name", "qualified_name")
+
+
+def gr9_browse(spark, d):
+    return _tools(spark, d).browse_namespace("EUROPE").select("namespace", "node_type", "name", "qualified_name")
+
+
+def gr1_reachable(spark, d):
+    c = _t(spark, d, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("src"), F.concat_ws("-", "conv_id", (F.col("turn") + 1)).alias("dst"), "turn")
+    have = c.select(F.col("src").alias("dst"))
+    start = c.where("turn = 0").select(F.col("src").alias("root"))
+    return traverse.reachable(c.join(have, "dst", "left_semi").select("src", "dst"), start)
+
+
+def gr2_paths(spark, d):
+    p = _t(spark, d, "part").select("p_partkey")
+    e = p.select(F.col("p_partkey").cast("string").alias("src"), F.explode(F.array(F.col("p_partkey") * 2, F.col("p_partkey") * 2 + 1)).alias("k"))
+    e = e.join(p, F.col("k") == F.col("p_partkey"), "left_semi").select("src", F.col("k").cast("string").alias("dst"))
+    return traverse.paths(e, p.select(F.col("p_partkey").cast("string").alias("root")), 5)
+
+
+def pf_predicates(spark, d):
+    p = _t(spark, d, "part")
+    kind = F.when(F.col("p_name").endswith("1"), "ends").when(F.col("p_type").contains("E"), "contains").when(F.col("p_brand").startswith("Brand#1"), "starts").otherwise("none")
+    return p.select("p_partkey", kind.alias("category"))
+
+
+def jn2_outer_nulls_last(spark, d):
+    c, o = _t(spark, d, "customer"), _t(spark, d, "orders").select("o_custkey", "o_orderkey")
+    return c.join(o, F.col("c_custkey") == F.col("o_custkey"), "left").select("c_custkey", "o_orderkey").orderBy(F.asc_nulls_last("o_orderkey"), "c_custkey")
+
+
+def sc16_prefixes(spark, d):
+    u = _t(spark, d, "pages").select(F.regexp_replace(F.regexp_extract("url", r"^[a-z]+://([^?#]+)", 1), "/", "::").alias("q"))
+    return u.select(F.explode(names.prefixes(F.col("q"))).alias("prefix")).groupBy("prefix").agg(F.count("*").alias("n"))
+
+
+def jn18_longest_prefix(spark, d):
+    u = _t(spark, d, "pages").select("page_id", F.regexp_replace(F.regexp_extract("url", r"^[a-z]+://([^?#]+)", 1), "/", "::").alias("q"))
+    table = u.select(F.element_at(F.split("q", "::"), 1).alias("p")).unionByName(u.where("q like '%::en::%'").select(F.concat(F.element_at(F.split("q", "::"), 1), F.lit("::en")).alias("p"))).distinct()
+    return resolve.longest_prefix(u, "q", table, "p").select("page_id", "p")
+
+
+def jn5_either_name(spark, d):
+    p = _t(spark, d, "part").select("p_partkey", F.col("p_brand").alias("name"), F.col("p_type").alias("qualified_name"))
+    tags = p.select(F.col("name").alias("tag")).unionByName(p.select(F.col("qualified_name").alias("tag"))).distinct()
+    return resolve.by_either_name(tags, p, "tag").select("tag", "p_partkey").groupBy("tag").agg(F.countDistinct("p_partkey").alias("n"))
+
+
+def jn15_resolve(spark, d):
+    n, r, c = _t(spark, d, "nation"), _t(spark, d, "region"), _t(spark, d, "customer")
+    s = n.join(r, F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_nationkey").cast("string").alias("uid"), F.concat_ws("::", "r_name", "n_name").alias("qualified_name"), F.col("n_nationkey").cast("long").alias("ord"))
+    refs = c.join(n, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").cast("string").alias("ref_id"), F.col("n_name").alias("ref_name"), F.lit("ASIA").alias("scope"))
+    return resolve.resolve(refs, s, "::")
+
+
+def jn19_within(spark, d):
+    e = _t(spark, d, "events").select("event_id", "user_id", F.unix_timestamp("ts").alias("at"))
+    spans = e.groupBy("user_id", F.floor(F.col("at") / 86400).alias("day")).agg(F.min("at").alias("a"), F.max("at").alias("b"))
+    return resolve.within(e, spans, "user_id", "at", "a", "b", ["a", "b"], width=86400).select("event_id", "a", "b")
+
+
+def ups_snapshots(spark, d):
+    o = _t(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("uid"), "o_orderstatus", F.lit("s").alias("source"), F.col("o_orderpriority").alias("type"))
+    old, new = o.where("o_orderstatus <> 'O'"), o.where("o_orderstatus <> 'F'")
+    both = upsert.merge(old, new).groupBy("type").agg(F.count("*").alias("n")).select(F.lit("merged").alias("what"), "type", "n")
+    return both.unionByName(upsert.refresh(old, new, "s")[1].select(F.lit("deleted").alias("what"), "type", "n"))
+
+
+def jn21_descriptions(spark, d):
+    doc, lab = _t(spark, d, "documents"), _t(spark, d, "labels")
+    new = doc.select(F.col("doc_id").cast("string").alias("qualified_name"), F.when(F.col("lang") == "en", "Setup block").otherwise(F.col("source")).alias("description"))
+    old = lab.select(F.col("doc_id").cast("string").alias("qualified_name"), F.concat(F.lit("quality "), F.col("quality").cast("string")).alias("description"))
+    return upsert.keep_descriptions(new, old).select("qualified_name", "description")
+
+
+def ft1_search(spark, d):
+    docs = _t(spark, d, "documents").select("doc_id", "text")
+    return fulltext.search(docs, "doc_id", "text", "stupid OR clown").select("doc_id", F.round("score", 6).alias("score"))
+
+
+def dv10_references(spark, d):
+    p = _t(spark, d, "pages")
+    return p.select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]+)"'), 1)).alias("ref")).groupBy("ref").agg(F.countDistinct("page_id").alias("pages"))
+
+
+def dv1_composition(spark, d):
+    u = _t(spark, d, "pages").select(F.regexp_replace(F.regexp_extract("url", r"^[a-z]+://([^?#]+)", 1), "/", "::").alias("q"))
+    return u.select(names.parent_name(F.col("q")).alias("parent"), names.short_name(F.col("q")).alias("child")).groupBy("parent").agg(F.count("*").alias("children"))
+
+
+def ag4_collect_distinct(spark, d):
+    doc = _t(spark, d, "documents")
+    return doc.groupBy("source").agg(F.array_join(F.array_sort(F.collect_set("lang")), ",").alias("langs"), F.count("*").alias("n"))
+
+
+def tk5_two_halves(spark, d):
+    c, s = _t(spark, d, "customer"), _t(spark, d, "supplier")
+    a = c.select(F.lit("customer").alias("half"), F.col("c_name").alias("name"), F.col("c_acctbal").alias("bal")).orderBy(F.desc("bal"), "name").limit(50)
+    return a.unionByName(s.select(F.lit("supplier").alias("half"), F.col("s_name").alias("name"), F.col("s_acctbal").alias("bal")).orderBy(F.desc("bal"), "name").limit(50))
+
+
+def so4_difference(spark, d):
+    doc, lab = _t(spark, d, "documents").select("doc_id"), _t(spark, d, "labels").select("doc_id")
+    return doc.subtract(lab)
+
+
+_ALL = (
+    gr10_list_sources, gr18_statistics, gr13_find_class, gr14_find_function, gr7_compound, gr8_members_ordered, gr3_callers, gr4_callees_of_class, gr19_namespaces, gr9_browse, gr1_reachable, gr2_paths, pf_predicates, jn2_outer_nulls_last,
+    sc16_prefixes, jn18_longest_prefix, jn5_either_name, jn15_resolve, jn19_within, ups_snapshots, jn21_descriptions, ft1_search, dv10_references, dv1_composition, ag4_collect_distinct, tk5_two_halves, so4_difference,
+)
+QUERIES = {f.__name__: f for f in _ALL}
+
+_Q = "SELECT page_id, replace(regexp_extract(url, '^[a-z]+://([^?#]+)', 1), '/', '::') AS q FROM pages"
+_UP = "SELECT o_orderkey, o_orderpriority AS type, o_orderstatus AS st FROM orders"
+SQL = {
+    "gr10_list_sources": "SELECT 'region' AS source, 'NamespaceNode' AS node_type, count(*) AS count FROM region UNION ALL SELECT 'nation', 'ClassNode', count(*) FROM nation UNION ALL SELECT 'supplier', 'MethodNode', count(*) FROM supplier UNION ALL SELECT 'part', 'FunctionNode', count(*) FROM part",
+    "gr18_statistics": """SELECT 'nodes' AS section, 'NamespaceNode' AS key, count(*) AS count FROM region UNION ALL SELECT 'nodes', 'ClassNode', count(*) FROM nation UNION ALL SELECT 'nodes', 'MethodNode', count(*) FROM supplier
+ UNION ALL SELECT 'nodes', 'FunctionNode', count(*) FROM part UNION ALL SELECT 'relationships', 'COMPOSES', (SELECT count(*) FROM nation) + (SELECT count(*) FROM supplier)
+ UNION ALL SELECT 'relationships', 'INVOKES', count(*) FROM (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem) UNION ALL SELECT 'compounds_by_kind', 'class', count(*) FROM nation
+ UNION ALL SELECT 'members_by_kind', k, count(*) FROM (SELECT 'function' AS k FROM supplier UNION ALL SELECT p_type FROM part) GROUP BY k""",
+    "gr13_find_class": "SELECT n_name AS name, r_name || '::' || n_name AS qualified_name, 'class' AS kind FROM nation JOIN region ON n_regionkey = r_regionkey WHERE contains(n_name, '1') OR contains(r_name || '::' || n_name, '1')",
+    "gr14_find_function": "SELECT s_name AS name, s_name AS qualified_name, n_name AS class_name FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey WHERE contains(s_name, 'Supplier') UNION ALL SELECT p_name, p_brand || '::' || p_name, NULL FROM part WHERE contains(p_name, 'Supplier') OR contains(p_brand || '::' || p_name, 'Supplier')",
+    "gr7_compound": "SELECT r_name || '::' || n_name AS qualified_name, coalesce(string_agg(DISTINCT s_name, ',' ORDER BY s_name), '') AS members FROM nation JOIN region ON n_regionkey = r_regionkey LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY 1",
+    "gr8_members_ordered": "SELECT l_orderkey, string_agg(l_linenumber || ':' || l_partkey, ',' ORDER BY l_linenumber, l_partkey) AS params FROM lineitem GROUP BY 1",
+    "gr3_callers": "SELECT p_brand || '::' || p_name AS qualified_name, 'p' || p_partkey AS uid, count(DISTINCT l_suppkey) AS callers FROM part JOIN lineitem ON l_partkey = p_partkey GROUP BY 1, 2",
+    "gr4_callees_of_class": "SELECT n_name AS compound_name, count(DISTINCT l_partkey) AS callees FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey GROUP BY 1",
+    "gr19_namespaces": "SELECT n_name AS name, r_name || '::' || n_name AS qualified_name FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'ASIA'",
+    "gr9_browse": "SELECT r_name AS namespace, 'ClassNode' AS node_type, n_name AS name, r_name || '::' || n_name AS qualified_name FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'EUROPE' ORDER BY n_name LIMIT 50",
+    "gr1_reachable": """WITH RECURSIVE e AS (SELECT conv_id || '-' || turn AS src, conv_id || '-' || (turn + 1) AS dst FROM conversations WHERE conv_id || '-' || (turn + 1) IN (SELECT conv_id || '-' || turn FROM conversations)),
+ w AS (SELECT DISTINCT a.conv_id || '-0' AS root, dst AS node FROM conversations a JOIN e ON src = a.conv_id || '-' || a.turn WHERE a.turn = 0 UNION SELECT root, dst FROM w JOIN e ON src = node) SELECT root, node FROM w""",
+    "gr2_paths": """WITH RECURSIVE e AS (SELECT a.p_partkey AS src, b.p_partkey AS dst FROM part a JOIN part b ON b.p_partkey = a.p_partkey * 2 UNION SELECT a.p_partkey, b.p_partkey FROM part a JOIN part b ON b.p_partkey = a.p_partkey * 2 + 1),
+ w AS (SELECT src AS root, dst AS node, 1 AS depth, [src || '-' || dst] AS via FROM e UNION ALL SELECT root, dst, depth + 1, list_append(via, src || '-' || dst) FROM w JOIN e ON src = node WHERE depth < 5 AND NOT list_contains(via, src || '-' || dst)) SELECT root::VARCHAR AS root, node::VARCHAR AS node, depth FROM w""",
+    "pf_predicates": "SELECT p_partkey, CASE WHEN ends_with(p_name, '1') THEN 'ends' WHEN contains(p_type, 'E') THEN 'contains' WHEN starts_with(p_brand, 'Brand#1') THEN 'starts' ELSE 'none' END AS category FROM part",
+    "jn2_outer_nulls_last": "SELECT c_custkey, o_orderkey FROM customer LEFT JOIN orders ON c_custkey = o_custkey ORDER BY o_orderkey NULLS LAST, c_custkey",
+    "sc16_prefixes": f"WITH u AS ({_Q}), p AS (SELECT string_split(q, '::') AS p FROM u), x AS (SELECT p, unnest(range(1, len(p))) AS i FROM p) SELECT array_to_string(p[1:i], '::') AS prefix, count(*) AS n FROM x GROUP BY 1",
+    "jn18_longest_prefix": f"WITH u AS ({_Q}) SELECT page_id, CASE WHEN contains(q, '::en::') AND string_split(q, '::')[2] = 'en' THEN string_split(q, '::')[1] || '::en' WHEN string_split(q, '::')[2] = 'en' AND string_split(q, '::')[1] || '::en' IN (SELECT string_split(q, '::')[1] || '::en' FROM u WHERE contains(q, '::en::')) THEN string_split(q, '::')[1] || '::en' ELSE string_split(q, '::')[1] END AS p FROM u",
+    "jn5_either_name": "WITH t AS (SELECT p_brand AS tag FROM part UNION SELECT p_type FROM part) SELECT tag, count(DISTINCT p_partkey) AS n FROM t JOIN part ON p_brand = tag OR p_type = tag GROUP BY 1",
+    "jn15_resolve": """WITH s AS (SELECT n_nationkey, n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey),
+ k AS (SELECT c_custkey, b.n_nationkey, row_number() OVER (PARTITION BY c_custkey ORDER BY (b.r_name = 'ASIA') DESC, b.n_nationkey) AS rn, b.r_name = 'ASIA' AS near, count(*) OVER (PARTITION BY c_custkey) AS n
+ FROM customer JOIN nation a ON c_nationkey = a.n_nationkey JOIN s b ON b.n_name = a.n_name) SELECT c_custkey::VARCHAR AS ref_id, n_nationkey::VARCHAR AS target FROM k WHERE rn = 1 AND (near OR n = 1)""",
+    "jn19_within": "WITH e AS (SELECT event_id, user_id, epoch(ts)::BIGINT AS x, floor(epoch(ts)) AS f FROM events), g AS (SELECT event_id, user_id, f::BIGINT AS t0 FROM e), s AS (SELECT user_id, t0 // 86400 AS day, min(t0) AS a, max(t0) AS b FROM g GROUP BY 1, 2) SELECT event_id, a, b FROM g JOIN s ON g.user_id = s.user_id AND t0 BETWEEN a AND b",
+    "ups_snapshots": f"WITH o AS ({_UP}) SELECT 'merged' AS what, type, count(*) AS n FROM o GROUP BY 2 UNION ALL SELECT 'deleted', type, count(*) FROM o WHERE st = 'F' GROUP BY 2",
+    "jn21_descriptions": "SELECT d.doc_id::VARCHAR AS qualified_name, CASE WHEN lang = 'en' AND l.doc_id IS NOT NULL THEN 'quality ' || l.quality WHEN lang = 'en' THEN 'Setup block' ELSE source END AS description FROM documents d LEFT JOIN labels l USING (doc_id)",
+    "ft1_search": r"""WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}_]+'), lambda x: x <> '') AS w FROM documents),
+ st AS (SELECT count(*) AS n, avg(len(w)) AS m FROM t), p AS (SELECT doc_id, len(w) AS dl, unnest(w) AS term FROM t), f AS (SELECT doc_id, dl, term, count(*) AS tf FROM p WHERE term IN ('stupid', 'clown') GROUP BY ALL),
+ d AS (SELECT term, count(*) AS df FROM f GROUP BY 1), s AS (SELECT doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / m))) AS score FROM f JOIN d USING (term), st GROUP BY 1)
+ SELECT doc_id, round(score, 6) AS score FROM s ORDER BY s.score DESC, doc_id LIMIT 20""",
+    "dv10_references": "SELECT ref, count(DISTINCT page_id) AS pages FROM (SELECT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]+)\"', 1)) AS ref FROM pages) GROUP BY 1",
+    "dv1_composition": f"WITH u AS ({_Q}) SELECT array_to_string(string_split(q, '::')[1:-2], '::') AS parent, count(*) AS children FROM u GROUP BY 1",
+    "ag4_collect_distinct": "SELECT source, string_agg(DISTINCT lang, ',' ORDER BY lang) AS langs, count(*) AS n FROM documents GROUP BY 1",
+    "tk5_two_halves": "(SELECT 'customer' AS half, c_name AS name, c_acctbal AS bal FROM customer ORDER BY bal DESC, name LIMIT 50) UNION ALL (SELECT 'supplier', s_name, s_acctbal FROM supplier ORDER BY s_acctbal DESC, s_name LIMIT 50)",
+    "so4_difference": "SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels",
+}
