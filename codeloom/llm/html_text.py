@@ -25,6 +25,8 @@ LABELLED = [
     (60, 0.0, 12, 0.0, 0, 0.0, 0), (90, 0.0, 9, 0.0, 0, 0.0, 0), (25, 0.0, 14, 0.0, 0, 0.0, 0), (140, 0.1, 11, 0.2, 0, 0.0, 0), (14, 0.0, 16, 0.1, 0, 0.0, 0),
     (200, 0.0, 5, 1.0, 4, 1.0, 0), (5, 1.0, 4, 1.0, 3, 0.0, 0), (75, 0.0, 3, 1.0, 2, 1.0, 0), (3, 0.0, 2, 0.5, 0, 0.0, 0), (0, 0.0, 3, 0.0, 0, 0.0, 0),
     (1, 1.0, 10, 0.0, 9, 0.0, 0), (1, 1.0, 8, 0.0, 11, 0.0, 0), (3, 1.0, 11, 0.3, 8, 0.0, 0), (80, 0.0, 15, 0.0, 0, 0.0, 0), (40, 0.0, 10, 0.0, 0, 0.0, 0),
+    (1, 0.0, 2, 1.0, 60, 0.0, 0), (8, 0.0, 6, 1.0, 80, 0.0, 0), (5, 0.0, 4, 1.0, 120, 0.0, 0), (0, 0.0, 3, 1.0, 40, 0.0, 0), (10, 0.0, 5, 0.9, 150, 0.0, 0),
+    (90, 0.0, 8, 1.0, 30, 0.0, 0), (60, 0.0, 4, 1.0, 90, 0.0, 0), (120, 0.0, 12, 0.8, 70, 0.0, 0), (70, 0.0, 5, 1.0, 14, 0.0, 0), (40, 0.0, 3, 1.0, 60, 0.0, 0),
     (9, 0.0, 8, 0.0, 60, 0.0, 1), (12, 0.0, 10, 0.0, 120, 0.0, 1), (7, 0.0, 6, 0.0, 45, 0.0, 1), (10, 0.0, 11, 0.0, 33, 0.1, 1), (14, 0.0, 9, 0.0, 200, 0.0, 1),
     (8, 0.0, 60, 0.0, 80, 0.0, 1), (10, 0.0, 120, 0.0, 90, 0.05, 1), (60, 0.0, 80, 0.0, 70, 0.0, 1), (120, 0.0, 35, 0.0, 60, 0.0, 1), (90, 0.1, 200, 0.05, 150, 0.0, 1),
     (70, 0.0, 12, 0.0, 80, 0.0, 1), (45, 0.0, 6, 0.0, 120, 0.0, 1), (33, 0.0, 4, 0.0, 90, 0.0, 1), (200, 0.0, 9, 0.1, 70, 0.0, 1), (150, 0.0, 2, 0.0, 40, 0.0, 1),

@@ -100,6 +100,8 @@ def present(texts: list, useful: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         one = one.replace("\x00", " ")
         for at in range(0, len(one), SLICE):
             own = one[_blank(one, max(0, at - 64)) : _blank(one, min(len(one), at + SLICE))]
+            while at + SLICE < len(one) and own and not own[-1].isalnum():  # the edge stands for the blank
+                own = own[:-1]
             _, h = _hits(_text.codepoints("\x00" + own + "\x00"), useful)
             h = np.unique(h)
             buckets.append(h)
