@@ -3,8 +3,11 @@
 Each text's word pairs vote for a 128-bit signature.  Several tables permute the
 bits; rows that agree on a prefix of the permuted bits share a bucket, and a
 bucket over the size limit is divided by additional bits until its parts are
-within the limit.  Every pair within a part is verified by Hamming distance, and
-the connected components of the verified pairs are the groups.
+within the limit.  The number of tables follows from the length of the prefix, and
+a bucket that takes additional bits is divided again by other bits, so that the
+chance to find a pair doesn't fall as the table grows.  Every pair within a part
+is verified by Hamming distance, and the connected components of the verified
+pairs are the groups.
 """
 
 from __future__ import annotations
@@ -21,8 +24,15 @@ from codeloom.llm import _store, _text
 BITS = 128
 SHINGLE = 2
 DISTANCE = 28
+#: Tables at least; more where the prefix is long, see `tables_for`.
 TABLES = 24
 BUCKET = 1024
+#: Least chance to find a pair `DISTANCE` bits apart, in all tables; in a bucket that both its rows are in.
+RECALL, WITHIN = 0.9, 0.95
+#: A bucket of which no number of divisions can be expected to reach `WITHIN` (near
+#: copies by the thousand) has `TABLES` of them and then as many as connect something
+#: new, until so many on end didn't.
+IDLE = 8
 _SALT = np.uint64(0xD1B54A32D192ED03)
 #: Rows that one call of the bucket kernel looks at together, at least.
 _ROWS = 1 << 17
@@ -98,6 +108,21 @@ def permute(s: np.ndarray, order: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(np.packbits(bits, axis=1)).view(">u8").astype(np.uint64)
 
 
+def agreement(distance: int, after: int = 0) -> np.ndarray:
+    """For k = 0, 1, ...: the chance that two signatures ``distance`` apart, which agree on
+    ``after`` bits of a random order, agree on the next k as well."""
+    left = BITS - after - np.arange(BITS - after)
+    return np.append(1.0, np.cumprod(np.maximum(left - distance, 0) / left))
+
+
+def tables_for(least: int, distance: int = DISTANCE) -> int:
+    """Tables that find a pair ``distance`` apart by a prefix of ``least`` bits with a chance of `RECALL`."""
+    each = WITHIN * agreement(distance)[least]
+    if not each:
+        raise ValueError(f"no two signatures {distance} bits apart agree on {least} bits")
+    return max(TABLES, int(np.ceil(np.log(1 - RECALL) / np.log(1 - each))))
+
+
 def _leading(x: np.ndarray) -> np.ndarray:
     """Leading zero bits of uint64."""
     x = x.copy()
@@ -113,6 +138,11 @@ def bucket_ends(p: np.ndarray, least: int, most: int) -> np.ndarray:
     is divided by the next bits until each part is within ``most`` (rows are
     distinct, so this ends).
     """
+    return _divide(p, least, most)[0]
+
+
+def _divide(p: np.ndarray, least: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each row, where its bucket ends (see `bucket_ends`) and on how many bits the bucket agrees."""
     n = len(p)
     same = np.zeros(n, np.int64)
     d = p[1:] ^ p[:-1]
@@ -120,18 +150,21 @@ def bucket_ends(p: np.ndarray, least: int, most: int) -> np.ndarray:
     start = same < least
     start[0] = True
     bits = least
+    depth = np.full(n, least)
     while True:
         first = np.flatnonzero(start)
         size = np.diff(np.append(first, n))
         if size.max() <= most or bits >= BITS:
-            return np.repeat(first + size, size)
+            return np.repeat(first + size, size), depth
         bits += 1
-        start |= np.repeat(size > most, size) & (same < bits)
+        over = np.repeat(size > most, size)
+        depth[over] = bits
+        start |= over & (same < bits)
 
 
-def near(p: np.ndarray, least: int, most: int, distance: int, step: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+def near(p: np.ndarray, end: np.ndarray, distance: int, step: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
     """Verified pairs of rows that share a bucket; about ``step`` pairs are looked at together."""
-    count = bucket_ends(p, least, most) - np.arange(len(p)) - 1
+    count = end - np.arange(len(p)) - 1
     total = np.append(0, np.cumsum(count))
     a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     at = 0
@@ -164,12 +197,52 @@ def _forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return root
 
 
-def edges(sigs: DataFrame, distance: int = DISTANCE, tables: int = TABLES, bucket: int = BUCKET, seed: int = 11) -> DataFrame:
-    """(u, v) of signature hashes: a forest that spans what each bucket's verified pairs connect."""
+def connect(p: np.ndarray, least: int, most: int, distance: int) -> np.ndarray:
+    """For each row of one bucket, sorted by permuted bits, the smallest row that verified pairs connect it with.
+
+    A bucket over ``most`` rows is divided again and again, each time by the bits
+    after ``least`` in another order, until a pair ``distance`` apart shared a part
+    with a chance of `WITHIN`, whichever row it belongs to.
+    """
+    end, depth = _divide(p, least, most)
+    root = _forest(len(p), *near(p, end, distance))
+    if len(p) <= most:
+        return root
+    chance = agreement(distance, least)
+    missed = 1 - chance[depth - least]
+    rng = np.random.default_rng(len(p))
+    own, done, idle = np.arange(len(p)), 1, 0
+    while missed.max() > 1 - WITHIN and (done < TABLES or idle < IDLE):
+        q = _reorder(p, np.append(np.arange(least), least + rng.permutation(BITS - least)))
+        at = np.lexsort((q[:, 1], q[:, 0]))
+        q = q[at]
+        end, depth = _divide(q, least, most)
+        i, j = near(q, end, distance)
+        i, j = at[i], at[j]
+        new = root[i] != root[j]
+        if new.any():
+            root = _forest(len(p), np.append(own, i[new]), np.append(root, j[new]))
+        missed[at] *= 1 - chance[depth - least]
+        done, idle = done + 1, 0 if new.any() else idle + 1
+    return root
+
+
+def _reorder(p: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Permuted bits (n x 2 words) in yet another order."""
+    parts = [np.packbits(np.unpackbits(np.ascontiguousarray(p[k : k + (1 << 16)].astype(">u8")).view(np.uint8), axis=1)[:, order], axis=1) for k in range(0, len(p), 1 << 16)]
+    return np.ascontiguousarray(np.concatenate(parts)).view(">u8").astype(np.uint64)
+
+
+def edges(sigs: DataFrame, distance: int = DISTANCE, tables: int | None = None, bucket: int = BUCKET, seed: int = 11) -> DataFrame:
+    """(u, v) of signature hashes: a forest that spans what each bucket's verified pairs connect.
+
+    tables: as many as the recall takes (`tables_for`) if not given.
+    """
     spark = sigs.sparkSession
     distinct = _store.materialize(sigs.select("s0", "s1").distinct(), "simhash-distinct")
     n = distinct.count()
     least = max(0, int(np.ceil(np.log2(max(n, 1) / bucket))))
+    tables = tables or tables_for(least, distance)
     order = permutations(tables, seed)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,11 +267,10 @@ def edges(sigs: DataFrame, distance: int = DISTANCE, tables: int = TABLES, bucke
             for lo, hi in _runs(x[:, 0]):
                 if hi - lo < 2:
                     continue
-                i, j = near(p[lo:hi], least, bucket, distance)  # distances don't depend on the order of bits
-                if not len(i):
-                    continue
-                root = _forest(hi - lo, i, j)
+                root = connect(p[lo:hi], least, bucket, distance)  # distances don't depend on the order of bits
                 at = np.flatnonzero(root != np.arange(hi - lo))
+                if not len(at):
+                    continue
                 s = _restore(p[lo:hi], back[table[lo]])
                 found_u.append(s[at])
                 found_v.append(s[root[at]])
@@ -286,7 +358,8 @@ def groups(docs: DataFrame, **options) -> DataFrame:
     stays is chosen; repeated rows are copies of each other; an empty table
     gives none, and columns other than doc_id and text aren't looked at.
     Signatures at most `DISTANCE` of 128 bits apart are near; the search is
-    approximate for pairs and exact for equal signatures.
+    approximate for pairs (a pair `DISTANCE` apart is found with a chance of
+    `RECALL`, whatever the size of the table) and exact for equal signatures.
     """
     m = members(docs, **options)
     return m.select("doc_id", "keep_id", F.col("n").alias("n_docs"))

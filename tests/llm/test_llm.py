@@ -139,6 +139,31 @@ def test_bucket_ends_by_brute_force():
     assert end[-1] == len(p) and sizes.max() <= 5
 
 
+def test_simhash_recall_at_long_prefixes(spark):
+    """Pairs at the very limit are found by as many bits as a table of a million and more takes, with skewed bits too."""
+    g = np.random.default_rng(8)
+    for bias in (0.5, 0.62):
+        bits = (g.random((1 << 14, simhash.BITS)) < bias).astype(np.uint8)
+        for k in range(1000):
+            bits[2 * k + 1] = bits[2 * k]
+            bits[2 * k + 1, g.permutation(simhash.BITS)[: simhash.DISTANCE]] ^= 1
+        s = np.packbits(bits, axis=1).view(np.int64)
+        sigs = spark.createDataFrame(s.tolist(), "s0 long, s1 long")
+        ids = [r.h for r in sigs.select(F.xxhash64("s0", "s1").alias("h")).collect()]
+        root = {r.node: r.root for r in simhash.components(simhash.edges(sigs, bucket=8)).collect()}
+        found = sum(root.get(ids[2 * k], ids[2 * k]) == root.get(ids[2 * k + 1], ids[2 * k + 1]) for k in range(1000))
+        assert found >= 900, (bias, found)
+
+
+def test_simhash_number_of_tables():
+    trials = np.random.default_rng(6).random((20_000, simhash.BITS)).argsort(axis=1)[:, :14]
+    assert abs((trials >= simhash.DISTANCE).all(axis=1).mean() - simhash.agreement(simhash.DISTANCE)[14]) < 0.005
+    for least in range(25):
+        t = simhash.tables_for(least)
+        assert t >= simhash.TABLES and 1 - (1 - simhash.agreement(simhash.DISTANCE)[least]) ** t >= simhash.RECALL
+    assert simhash.tables_for(14) > 73
+
+
 def test_html(spark):
     page = "<html><head><title>Ti</title><script>var a='<p>x</p>';</script></head><body><nav><a href='/'>home</a><a>two</a></nav><p>" + prose(60, 1) + "</p><p>" + prose(70, 2) + " &amp; co<footer>c 2020 all rights</footer></body>"
     df = spark.createDataFrame([(1, page), (2, None), (3, ""), (None, "<p"), (4, "<p>" + "x " * 300_000)], "page_id long, html string")
