@@ -19,7 +19,10 @@ from codeloom.llm import _store, _text
 
 GRAM = 4
 RARE = 1e-8
-LEAST_SCORE = 0.5
+#: An item is found at this score, or at a lower one that chance doesn't reach: at
+#: `LEAST_WORDS` matching words net of edits and `LONG_SCORE`.
+LEAST_SCORE, LONG_SCORE = 0.5, 0.3
+LEAST_WORDS = 8
 MATCH, MISMATCH, GAP = 1, -1, -1
 _MOST_BITS = 30
 
@@ -196,7 +199,7 @@ def _score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 own = rows[at:to]
                 got[own] = align(a, [np.frombuffer(passage[k], np.uint64) for k in own]) / (MATCH * len(a))
                 at = to
-        yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(4)), pa.array(got)], names=["doc_id", "k1", "k2", "item_id", "score"])
+        yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(4)), pa.array(got), b.column(6)], names=["doc_id", "k1", "k2", "item_id", "score", "enough"])
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, rare: float = RARE, least_score: float = LEAST_SCORE) -> DataFrame:
@@ -217,16 +220,19 @@ def matches(docs: DataFrame, benchmark: DataFrame, rare: float = RARE, least_sco
     hits = scan.where("kind = 0").select("doc_id", "k1", "k2", "p", F.explode("gs").alias("gram"))
     pairs = hits.join(chosen, "gram").select("doc_id", "k1", "k2", "p", "item_id").distinct()
     text = scan.where("kind = 0").select("k1", "k2", "p", F.col("words").alias("passage")).dropDuplicates(["k1", "k2", "p"])
-    both = pairs.join(text, ["k1", "k2", "p"]).join(table.select("item_id", F.col("words").alias("item")), "item_id")
-    scored = both.select("doc_id", "k1", "k2", "item_id", "item", "passage").mapInArrow(_score, "doc_id long, k1 long, k2 int, item_id long, score double")
-    return scored.where(F.col("score") >= least_score).groupBy("doc_id", "k1", "k2", "item_id").agg(F.max("score").alias("score"))
+    both = pairs.join(text, ["k1", "k2", "p"]).join(table.select("item_id", F.col("words").alias("item"), "n"), "item_id")
+    enough = F.least(F.lit(least_score), F.greatest(F.lit(LEAST_WORDS) / F.col("n"), F.lit(LONG_SCORE)))
+    scored = both.select("doc_id", "k1", "k2", "item_id", "item", "passage", enough.alias("enough")).mapInArrow(_score, "doc_id long, k1 long, k2 int, item_id long, score double, enough double")
+    return scored.where(F.col("score") >= F.col("enough")).groupBy("doc_id", "k1", "k2", "item_id").agg(F.max("score").alias("score"))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """(doc_id, item_id, score) of each document that holds at least a part of a benchmark item.
 
     The score is the best local alignment of words over the item's number of
-    words, so 1 is a whole copy.  Every item and document with an n-gram of
+    words, so 1 is a whole copy.  A score of ``least_score`` is enough, and for
+    items of over 16 words one of `LONG_SCORE` that stands for `LEAST_WORDS`
+    words, so that edited copies are found.  Every item and document with an n-gram of
     `GRAM` words in common that is rare (its words' corpus shares multiply to at
     most ``rare``) is aligned; an item without such an n-gram takes all its
     n-grams.  Items or texts of fewer than `GRAM` words, null and empty texts

@@ -113,6 +113,19 @@ def test_decontamination(spark, odd, none):
     assert decontam.leaks(none, bench).count() == 0 and decontam.leaks(docs, bench.where("false")).count() == 0
 
 
+def test_decontamination_of_edited_copies(spark):
+    items = [(k, prose((18, 30, 38, 55)[k % 4], 5000 + k)) for k in range(100)]
+    shares, rows = (0.1, 0.15, 0.2, 0.25, 0.3), [(-1 - k, prose(200, 9000 + k)) for k in range(300)]
+    for i, share in enumerate(shares):
+        for k, t in items:
+            n = 1000 * i + k
+            rows.append((n, f"{prose(40, 20_000 + n)} {edit(t, share, n)} {prose(40, 30_000 + n)}"))
+    got = decontam.leaks(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert all(r.doc_id >= 0 and r.doc_id % 1000 == r.item_id for r in got)
+    found = [sum(r.doc_id // 1000 == i for r in got) for i in range(len(shares))]
+    assert all(n >= least for n, least in zip(found, (98, 96, 93, 85, 75))), found
+
+
 def test_simhash(spark, odd, none):
     base = [prose(n, 900 + n) for n in range(60, 160)]
     rows = [(k, t) for k, t in enumerate(base)] + [(1000 + k, edit(t, 0.04, k)) for k, t in enumerate(base[:40])] + [(2000 + k, base[50]) for k in range(30)]
