@@ -22,6 +22,7 @@ BITS = 20
 ORDERS = (3, 4, 5, 6)
 SLICE = 1 << 17
 _EDGE = 0
+_PART = 1 << 19
 
 
 @dataclass
@@ -152,7 +153,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(
     docs: DataFrame,
     labels: DataFrame,
-    most: int = 10_000,
+    most: int = 20_000,
     alpha: float = 0.5,
     least_z: float = 3.0,
     l2: float = 1e-3,
@@ -182,7 +183,7 @@ def train(
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         on = np.unpackbits(np.frombuffer(flags, np.uint8)).astype(bool)
-        for b in batches:
+        for b in (b.slice(k, 256) for b in batches for k in range(0, b.num_rows, 256)):
             row, bucket = present(b.column(0).to_pylist(), on)
             cuts = np.searchsorted(row, np.arange(1, b.num_rows))
             got = [x.astype(np.int32).tobytes() for x in np.split(bucket, cuts)]
@@ -201,8 +202,8 @@ def train(
 def _fit(feats: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, l2: float, steps: int) -> tuple[np.ndarray, float]:
     """Accelerated gradient descent on the logistic loss; returns weight times ratio.
 
-    The features stand in row order and in column order, as 32-bit numbers, so a
-    step makes no array that is longer than they are.
+    The features stand in row order only, as 32-bit numbers, and a step works them
+    off by about `_PART` at a time, so it makes no array as long as they are.
     """
     out = np.zeros(len(ratio), np.float32)
     size = np.array([len(f) for f in feats])
@@ -216,22 +217,29 @@ def _fit(feats: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, l2: float, s
     for f in feats:
         col[at : at + len(f)] = np.searchsorted(used, f)
         at += len(f)
-    some = np.flatnonzero(size)
-    starts = (np.cumsum(size) - size)[some]
-    row = np.repeat(np.arange(n, dtype=np.int32), size)[np.argsort(col, kind="stable")]
-    count = np.bincount(col, minlength=len(used))
-    heads = np.cumsum(count) - count
+    feats.clear()
+    starts = np.append(0, np.cumsum(size))
+    cuts = np.unique(np.append(np.searchsorted(starts, np.arange(0, starts[-1], _PART)), n))
+    parts = [(a, b, slice(starts[a], starts[b])) for a, b in zip(cuts[:-1], cuts[1:])]
+
+    def by_row(x: np.ndarray) -> np.ndarray:
+        return np.concatenate([np.bincount(np.repeat(np.arange(b - a), size[a:b]), x[col[at]], b - a) for a, b, at in parts])
+
+    def by_column(x: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(used))
+        for a, b, at in parts:
+            out += np.bincount(col[at], np.repeat(x[a:b], size[a:b]), len(used))
+        return out
+
     scale = ratio[used].astype(np.float32)
-    norm = np.zeros(n)
-    norm[some] = np.add.reduceat((scale * scale)[col], starts)
+    norm = by_row(scale * scale)
     step = n**0.5 / (0.25 * float(norm.max()) + 0.25 + l2)
     w = v = np.zeros(len(used), np.float32)
     vb = bias
     for k in range(steps):
-        z = np.full(n, vb)
-        z[some] += np.add.reduceat((scale * v)[col], starts)
+        z = vb + by_row(scale * v)
         g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / n
-        gw = scale * np.add.reduceat(g.astype(np.float32)[row], heads) + l2 * v / n
+        gw = scale * by_column(g).astype(np.float32) + l2 * v / n
         nw, nb = v - np.float32(step) * gw, vb - step * g.sum()
         mu = k / (k + 3)
         v, vb = nw + np.float32(mu) * (nw - w), nb + mu * (nb - bias)

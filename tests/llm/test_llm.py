@@ -63,6 +63,31 @@ def test_toxicity_held_out(spark, odd, none):
     assert toxicity.score(odd, empty).where("toxic").count() == 0
 
 
+def test_toxicity_fits_twenty_thousand_rows(spark):
+    """The whole sample is used, and the fit makes no array as long as its features."""
+    import inspect
+    import tracemalloc
+
+    most = inspect.signature(toxicity.train).parameters["most"].default
+    labels = spark.range(25_000).select(F.col("id").alias("doc_id"), (F.col("id") % 7 == 0).cast("int").alias("toxic"))
+    docs = labels.select("doc_id", F.lit("t").alias("text"))
+    assert toxicity.sample_labelled(docs, labels, most, 7).count() == 20_000
+    g = np.random.default_rng(2)
+    y = (np.arange(20_000) % 7 == 0).astype(float)
+    ratio = g.normal(size=5000)
+    feats = [g.integers(0, 5000, 200).astype(np.int32) for _ in y]
+    for f, v in zip(feats, y):
+        f[:20] = np.flatnonzero(ratio > 1.5 if v else ratio < -1.5)[:20]
+    own = [f.copy() for f in feats]
+    tracemalloc.start()
+    w, bias = toxicity._fit(feats, y, ratio, 1e-3, 30)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 2.5 * 4 * 200 * len(y)
+    z = np.array([bias + w[f].sum() for f in own])
+    assert ((z > 0) == (y > 0)).mean() > 0.99
+
+
 def test_long_text_keeps_its_ngrams():
     useful = np.ones(1 << toxicity.BITS, bool)
     text = prose(40_000, 9)
