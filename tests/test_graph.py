@@ -102,3 +102,12 @@ def test_upsert(spark):
     assert {r.uid for r in both.collect()} == {"1", "3", "4"} and gone.first().n == 1
     assert {r.uid: r.description for r in upsert.keep_descriptions(new, old).collect()}["1"] == "good words"
     assert fulltext.search(old, "uid", "description", '"good words"').count() == 1
+
+
+def test_fuzzy_search_takes_all_terms_and_joins_them(spark):
+    from codeloom.operators import fulltext
+
+    rows = [(k, f"word{chr(97 + k // 26)}{chr(97 + k % 26)} plain") for k in range(120)] + [(500, "plain only")]
+    docs = spark.createDataFrame(rows, "id long, text string")
+    assert {r.id for r in fulltext.search(docs, "id", "text", "word~2", 1000).collect()} == set(range(120))
+    assert {r.id for r in fulltext.search(docs, "id", "text", "plain AND word~2", 1000).collect()} == set(range(120))
