@@ -24,12 +24,36 @@ def prefixes(qn: Column, sep: str = "::") -> Column:
 
 
 def normal_args(args: Column) -> Column:
-    """Types of an argument list; the declared name is dropped where a plain one follows a type."""
-    body = F.regexp_replace(F.trim(F.coalesce(args, F.lit(""))), r"^\(|\)[^)]*$", "")
-    each = F.transform(F.split(body, ","), lambda a: F.trim(F.substring_index(a, "=", 1)))
-    bare = F.transform(each, lambda a: F.when(a.rlike(r"^[^<>*&:]+\s+\w+$"), F.regexp_replace(a, r"\s+\w+$", "")).otherwise(a))
-    out = F.concat(F.lit("("), F.array_join(bare, ", "), F.lit(")"))
-    return F.when(F.trim(body).isin("", "void"), "()").otherwise(out)
+    """Types of an argument list: ``(int x, const char* s = 0) const`` is ``(int, const char*) const``.
+
+    A default goes with all that follows '='; a last word that is a plain name goes where a type stands before it.
+    """
+    text = F.trim(F.coalesce(args, F.lit("")))
+    body, after = F.regexp_extract(text, r"^\(?(.*?)(?:\)([^()]*))?$", 1), F.trim(F.regexp_extract(text, r"\)([^()]*)$", 1))
+
+    def bare(a: Column) -> Column:
+        words = F.split(F.trim(F.substring_index(a, "=", 1)), r"\s+")
+        named = (F.size(words) > 1) & F.element_at(words, -1).rlike(r"^[A-Za-z_]\w*$")
+        return F.array_join(F.when(named, F.slice(words, F.lit(1), F.size(words) - 1)).otherwise(words), " ")
+
+    types = F.when(F.trim(body).isin("", "void"), "").otherwise(F.array_join(F.transform(F.split(body, ","), bare), ", "))
+    return F.concat(F.lit("("), types, F.lit(")"), F.when(after != "", F.concat(F.lit(" "), after)).otherwise(""))
+
+
+def python_args(args: Column) -> Column:
+    """Annotations of a Python argument list in order, ``_`` where there is none; stars stay, names and defaults go."""
+    inner = F.regexp_replace(F.trim(F.coalesce(args, F.lit(""))), r"^\(|\)$", "")
+    # commas within brackets or quotes belong to their argument
+    flat = F.regexp_replace(inner, r"\[[^\[\]]*\]", "[]")
+    flat = F.regexp_replace(F.regexp_replace(flat, r"\([^()]*\)|\{[^{}]*\}|'[^']*'|\"[^\"]*\"", ""), r"\[[^\[\]]*\]", "[]")
+
+    def kind(a: Column) -> Column:
+        own = F.trim(F.substring_index(a, "=", 1))
+        star = F.regexp_extract(own, r"^(\**)", 1)
+        return F.when(own.isin("*", "/"), own).otherwise(F.concat(star, F.when(F.instr(own, ":") > 0, F.trim(F.regexp_extract(own, r":(.*)$", 1))).otherwise("_")))
+
+    each = F.filter(F.split(flat, ","), lambda a: F.trim(a) != "")
+    return F.concat(F.lit("("), F.array_join(F.transform(each, kind), ", "), F.lit(")"))
 
 
 def source_type(path: Column) -> Column:

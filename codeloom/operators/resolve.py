@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.functions import names
@@ -36,17 +36,25 @@ def by_either_name(refs: DataFrame, symbols: DataFrame, key: str) -> DataFrame:
 
 
 def longest_prefix(rows: DataFrame, key: str, table: DataFrame, prefix: str, sep: str = "::") -> DataFrame:
-    """rows with the longest entry of table.prefix that is the key or one of its prefixes."""
-    tried = rows.withColumn(prefix, F.explode(F.concat(F.array(key), names.prefixes(F.col(key), sep))))
-    hit = tried.join(table, prefix)
-    w = Window.partitionBy(*(c for c in rows.columns)).orderBy(F.desc(F.length(prefix)), prefix)
-    return hit.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    """rows with the longest entry of table.prefix that is the key or one of its prefixes.
+
+    Repeated rows stay; rows without an entry, or with a null key, are left out.
+    """
+    keys = rows.select(key).where(F.col(key).isNotNull()).distinct()
+    tried = keys.withColumn(prefix, F.explode(F.concat(F.array(key), names.prefixes(F.col(key), sep))))
+    entry = F.struct(*(F.col(c) for c in table.columns))
+    best = tried.join(table, prefix).groupBy(key).agg(F.max_by(entry, F.struct(F.length(prefix), F.xxhash64(*table.columns))).alias("_best"))
+    return rows.join(best, key).select(*(F.col(c) for c in rows.columns), *(F.col(f"_best.{c}").alias(c) for c in table.columns))
 
 
 def within(points: DataFrame, spans: DataFrame, on: str, at: str, start: str, end: str, order: list[str], width: int = 64) -> DataFrame:
-    """Each point with the first span of its group that contains it: spans are put into bins, so the join is an equi-join."""
-    p = points.withColumn("_bin", F.floor(F.col(at) / width))
+    """Each point with the first span of its group that contains it: spans are put into bins, so the join is an equi-join.
+
+    Repeated points stay; points in no span, or with a null group or place, are left out.
+    """
+    p = points.select(on, at).where(F.col(on).isNotNull() & F.col(at).isNotNull()).distinct().withColumn("_bin", F.floor(F.col(at) / width))
     s = spans.where(F.col(end) >= F.col(start)).withColumn("_bin", F.explode(F.sequence(F.floor(F.col(start) / width), F.floor(F.col(end) / width))))
     hit = p.join(s, [on, "_bin"]).where((F.col(at) >= F.col(start)) & (F.col(at) <= F.col(end)))
-    w = Window.partitionBy(*points.columns).orderBy(*order)
-    return hit.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", "_bin")
+    rest = [c for c in spans.columns if c != on]
+    first = hit.groupBy(on, at).agg(F.min_by(F.struct(*rest), F.struct(*order, F.xxhash64(*rest).alias("_h"))).alias("_first"))
+    return points.join(first, [on, at]).select(*points.columns, *(F.col(f"_first.{c}").alias(c) for c in rest))

@@ -8,13 +8,23 @@ from pyspark.sql import functions as F
 from codeloom.functions import names
 
 
-def merge(old: DataFrame, new: DataFrame, key: str = "uid") -> DataFrame:
-    """Rows of ``new``, and those of ``old`` whose key ``new`` lacks.  Repeated keys within ``new`` count once."""
-    return new.dropDuplicates([key]).unionByName(old.join(new.select(key), key, "left_anti"), allowMissingColumns=True)
+def latest(rows: DataFrame, key: str = "uid", order: tuple[str, ...] = ("ord",)) -> DataFrame:
+    """One row of each key: the last by ``order`` (columns that ``rows`` lacks don't count), then by a hash of all columns."""
+    if not rows.columns or key not in rows.columns:
+        raise ValueError(f"no column {key}")
+    by = [F.col(c) for c in order if c in rows.columns]
+    whole = F.struct(*(F.col(f"`{c}`") for c in rows.columns))
+    one = rows.groupBy(F.col(key).alias("_key")).agg(F.max_by(whole, F.struct(*by, F.xxhash64(*(F.col(f"`{c}`") for c in rows.columns)))).alias("_row"))
+    return one.select("_row.*")
 
 
-def insert_only(old: DataFrame, new: DataFrame, key: str = "uid") -> DataFrame:
-    return old.unionByName(new.dropDuplicates([key]).join(old.select(key), key, "left_anti"), allowMissingColumns=True)
+def merge(old: DataFrame, new: DataFrame, key: str = "uid", order: tuple[str, ...] = ("ord",)) -> DataFrame:
+    """Rows of ``new``, and those of ``old`` whose key ``new`` lacks.  Of repeated keys within ``new`` the `latest` counts."""
+    return latest(new, key, order).unionByName(old.join(new.select(key).distinct(), key, "left_anti"), allowMissingColumns=True)
+
+
+def insert_only(old: DataFrame, new: DataFrame, key: str = "uid", order: tuple[str, ...] = ("ord",)) -> DataFrame:
+    return old.unionByName(latest(new, key, order).join(old.select(key).distinct(), key, "left_anti"), allowMissingColumns=True)
 
 
 def stale(old: DataFrame, live: DataFrame, source: str, key: str = "uid") -> DataFrame:
@@ -22,10 +32,39 @@ def stale(old: DataFrame, live: DataFrame, source: str, key: str = "uid") -> Dat
     return old.where(F.col("source") == source).join(live.select(key).distinct(), key, "left_anti")
 
 
+def without_source(rows: DataFrame, source: str) -> DataFrame:
+    """All rows but those of the source; rows without a source stay."""
+    return rows.where(~F.col("source").eqNullSafe(source))
+
+
 def refresh(old: DataFrame, new: DataFrame, source: str) -> tuple[DataFrame, DataFrame]:
-    """(all rows after the source is replaced, deleted counts by type)."""
+    """(all rows after the source is replaced, deleted counts by type).  Rows of other sources, and of none, stay."""
     gone = stale(old, new, source).groupBy("type").agg(F.count("*").alias("n"))
-    return old.where(F.col("source") != source).unionByName(new.dropDuplicates(["uid"]), allowMissingColumns=True), gone
+    return without_source(old, source).unionByName(latest(new), allowMissingColumns=True), gone
+
+
+def refresh_graph(nodes: DataFrame, edges: DataFrame, new_nodes: DataFrame, new_edges: DataFrame, source: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(nodes, edges, deleted counts by type) after a source was parsed again.
+
+    Its edges are the new ones; edges of other sources to nodes that are gone go with them, edges to a name alone stay.
+    """
+    own, gone = refresh(nodes, new_nodes, source)
+    lost = stale(nodes, new_nodes, source).select("uid").distinct()
+    kept = without_source(edges, source).join(lost, F.col("src_uid") == F.col("uid"), "left_anti").join(lost, F.col("dst_uid") == F.col("uid"), "left_anti")
+    return own, kept.unionByName(new_edges.dropDuplicates(), allowMissingColumns=True), gone
+
+
+def clear_source(nodes: DataFrame, edges: DataFrame, source: str) -> tuple[DataFrame, DataFrame]:
+    """Both tables without the source and without edges at its nodes."""
+    lost = nodes.where(F.col("source") == source).select("uid").distinct()
+    kept = without_source(edges, source).join(lost, F.col("src_uid") == F.col("uid"), "left_anti").join(lost, F.col("dst_uid") == F.col("uid"), "left_anti")
+    return without_source(nodes, source), kept
+
+
+def clear_all(nodes: DataFrame, edges: DataFrame, keep: tuple[str, ...] = ("TestNode", "TestFixtureNode", "LiteralNode")) -> tuple[DataFrame, DataFrame]:
+    """Both tables emptied, but for nodes of the types to ``keep`` (tests, fixtures and literals, as a store's clear-all leaves them)."""
+    own = nodes.where(F.col("type").isin(*keep)) if keep else nodes.where("false")
+    return own, edges.where("false")
 
 
 def detach(edges: DataFrame, nodes: DataFrame) -> DataFrame:

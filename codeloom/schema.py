@@ -29,6 +29,11 @@ def empty(spark: SparkSession, ddl: str) -> DataFrame:
     return spark.createDataFrame([], ddl)
 
 
-def uid(*identity: str):
-    """Deterministic id of a node within its source; parameter names and defaults have no part in it."""
-    return F.sha2(F.concat_ws("\u0001", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("source", "type", *identity))), 256)
+def uid(*identity):
+    """Deterministic id of a node within its source, of columns or their names.
+
+    Overloads differ by their arguments' types; callers pass those normalised (`names.normal_args`,
+    `names.python_args`), so that parameter names and defaults have no part in it.
+    """
+    parts = [F.col(c) if isinstance(c, str) else c for c in ("source", "type", *identity)]
+    return F.sha2(F.concat_ws("\u0001", *(F.coalesce(p.cast("string"), F.lit("")) for p in parts)), 256)

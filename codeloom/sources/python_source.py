@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import ast
+import builtins
+import io
+import re
 import warnings
 from collections.abc import Iterator
 
@@ -15,6 +18,17 @@ from codeloom.functions import names
 from codeloom.operators import resolve
 
 EXCLUDED = ("__pycache__", ".git", ".hg", ".svn", ".tox", ".nox", ".venv", "venv", "env", "build", "dist", "node_modules", ".mypy_cache", ".pytest_cache", ".ruff_cache", ".eggs", "site-packages")
+#: Calls by these bare names never mean a parsed symbol: builtins, methods of their types, logging, and common library names.
+DENIED_CALLS = frozenset(
+    {n for n in dir(builtins) if n[0].islower()}
+    | {n for t in (str, bytes, list, dict, set, io.TextIOWrapper) for n in dir(t) if not n.startswith("_")}
+    | set("Path critical datetime debug dump dumps error exception findall info json load loads log match np os pd re search sub sys time timedelta warning __import__".split())
+)
+#: Types that are defined in no parsed file.
+DENIED_TYPES = frozenset(
+    {n for n in dir(builtins) if isinstance(getattr(builtins, n), type) and (n[0].islower() or n in ("Exception", "BaseException"))}
+    | set("Any Awaitable Callable Coroutine Dict Ellipsis FrozenSet Generator Iterable Iterator List Literal Mapping MutableMapping NamedTuple None NoneType NotImplemented Optional Protocol Self Sequence Set Tuple Type TypeVar TypedDict Union".split())
+)
 _ENUMS = {"Enum", "IntEnum", "StrEnum", "Flag", "IntFlag"}
 _ROW = "type string, name string, qualified_name string, kind string, file_path string, line_number int, body_start int, body_end int, brief_description string, argsstring string, type_signature string, protection string, base_classes array<string>, is_static boolean, is_abstract boolean, member_refid string, position int, default_value string, ord long, ref string, ref_kind string"
 
@@ -23,6 +37,11 @@ def _text(node: ast.AST | None) -> str:
     return ast.unparse(node) if node is not None else ""
 
 
+def _protection(name: str) -> str:
+    """Names with one leading underscore are private; dunder names are part of the public protocol."""
+    return "private" if name[:1] == "_" and name[1:2] != "_" else "public"
+
+
 class _Reader(ast.NodeVisitor):
     """Rows of one module; references to be resolved are rows of type 'ref'."""
 
@@ -34,16 +53,22 @@ class _Reader(ast.NodeVisitor):
         base = {"type": label, "name": name, "qualified_name": f"{self.scope[-1]}.{name}", "file_path": self.path, "line_number": line, "body_start": line, "body_end": getattr(node, "end_lineno", None)}
         self.rows.append(base | more | {"ord": len(self.rows)})
 
-    def ref(self, owner: str, kind: str, text: str) -> None:
+    def ref(self, owner: str, kind: str, text: str, line: int | None = None) -> None:
         if text:
-            self.rows.append({"type": "ref", "qualified_name": owner, "ref": text, "ref_kind": kind, "ord": len(self.rows)})
+            self.rows.append({"type": "ref", "qualified_name": owner, "ref": text, "ref_kind": kind, "line_number": line, "ord": len(self.rows)})
+
+    def depends(self, owner: str, annotation: ast.AST | None) -> None:
+        """The type that an annotation names; of a generic one its base."""
+        base = _text(annotation).strip("'\"").split("[")[0].split("<")[0].strip()
+        if base not in DENIED_TYPES and base.lower() not in DENIED_TYPES:
+            self.ref(owner, "DEPENDS_ON", base)
 
     def visit_ClassDef(self, node: ast.ClassDef) -> None:
         bases = [_text(b) for b in node.bases]
         short = {b.split("[")[0].rsplit(".", 1)[-1] for b in bases}
         enum, face = bool(short & _ENUMS), bool(short & {"ABC", "Protocol"})
         label = "EnumNode" if enum else "InterfaceNode" if face else "ClassNode"
-        self.add(label, node.name, node, kind="enum" if enum else "interface" if face else "class", base_classes=bases, brief_description=(ast.get_docstring(node) or "").split("\n")[0], is_abstract=face, protection="private" if node.name.startswith("_") else "public")
+        self.add(label, node.name, node, kind="enum" if enum else "interface" if face else "class", base_classes=bases, brief_description=(ast.get_docstring(node) or "").split("\n")[0], is_abstract=face, protection=_protection(node.name))
         qn = f"{self.scope[-1]}.{node.name}"
         for b in bases if label == "ClassNode" else []:
             self.ref(qn, "INHERITS_FROM", b.split("[")[0])
@@ -54,7 +79,7 @@ class _Reader(ast.NodeVisitor):
                 if enum:
                     self.add("EnumValueNode", target.id, child, kind="enumvalue", default_value=_text(child.value))
                 elif isinstance(child, ast.AnnAssign) or not target.id.startswith("__"):
-                    self.add("AttributeNode", target.id, child, kind="variable", type_signature=_text(getattr(child, "annotation", None)), protection="private" if target.id.startswith("_") else "public")
+                    self.add("AttributeNode", target.id, child, kind="variable", type_signature=_text(getattr(child, "annotation", None)), protection=_protection(target.id))
             elif isinstance(child, (ast.ClassDef, ast.FunctionDef, ast.AsyncFunctionDef)):
                 self.visit(child)
         self.scope.pop()
@@ -65,7 +90,7 @@ class _Reader(ast.NodeVisitor):
         kind = next((k for k in ("property", "classmethod", "staticmethod") if k in marks), "method") if inside else "function"
         test = not inside and node.name.startswith("test_")
         label = "TestNode" if test else "MethodNode" if inside else "FunctionNode"
-        self.add(label, node.name, node, kind="test" if test else kind, argsstring=f"({_text(node.args)})", type_signature=_text(node.returns), is_static="staticmethod" in marks, is_abstract="abstractmethod" in marks, brief_description=(ast.get_docstring(node) or "").split("\n")[0], protection="private" if node.name.startswith("_") else "public")
+        self.add(label, node.name, node, kind="test" if test else kind, argsstring=f"({_text(node.args)})", type_signature=_text(node.returns), is_static="staticmethod" in marks, is_abstract="abstractmethod" in marks, brief_description=(ast.get_docstring(node) or "").split("\n")[0], protection=_protection(node.name))
         qn = f"{self.scope[-1]}.{node.name}"
         a = node.args
         plain = [*a.posonlyargs, *a.args]
@@ -73,10 +98,11 @@ class _Reader(ast.NodeVisitor):
         every = [*zip(plain, given), *([(a.vararg, None)] if a.vararg else []), *zip(a.kwonlyargs, a.kw_defaults), *([(a.kwarg, None)] if a.kwarg else [])]
         for k, (p, d) in enumerate(x for x in every if x[0].arg not in ("self", "cls")):
             self.add("ParameterNode", p.arg, p, member_refid=qn, position=k, type_signature=_text(p.annotation), default_value=_text(d), qualified_name=f"{qn}#{k}")
-            self.ref(qn, "DEPENDS_ON", _text(p.annotation).split("[")[0].strip("'\""))
-        self.ref(qn, "DEPENDS_ON", _text(node.returns).split("[")[0].strip("'\""))
+            self.depends(qn, p.annotation)
+        self.depends(qn, node.returns)
         for call in (c for x in node.body for c in ast.walk(x) if isinstance(c, ast.Call)):
-            self.ref(qn, "INVOKES", _text(call.func) if isinstance(call.func, (ast.Name, ast.Attribute)) else "")
+            if isinstance(call.func, (ast.Name, ast.Attribute)):
+                self.ref(qn, "INVOKES", _text(call.func), call.lineno)
 
     visit_AsyncFunctionDef = visit_FunctionDef
 
@@ -85,7 +111,9 @@ class _Reader(ast.NodeVisitor):
             self.ref(self.module, "INCLUDES", a.name)
 
     def visit_ImportFrom(self, node: ast.ImportFrom) -> None:
-        package = self.module.split(".")[: -node.level] if node.level else []
+        # in a package's __init__ one dot is the package itself
+        up = node.level - self.path.endswith("__init__.py")
+        package = self.module.split(".")[: len(self.module.split(".")) - up] if node.level else []
         self.ref(self.module, "INCLUDES", ".".join([*package, *([node.module] if node.module else [])]))
 
 
@@ -109,22 +137,36 @@ def parse_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=columns).astype(object).where(lambda d: d.notna(), None)
 
 
+def _files(spark: SparkSession, root: str) -> DataFrame:
+    """(rel, content) of all Python files.  The reader leaves out files of no bytes, so their names come from a listing."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.py").load(root)
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    every, blank = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(folder, True), []
+    while every.hasNext():
+        one = every.next()
+        if one.getLen() == 0 and one.getPath().getName().endswith(".py"):
+            blank.append((one.getPath().toString(), bytearray()))
+    own = files.select("path", "content").unionByName(spark.createDataFrame(blank, "path string, content binary"))
+    own = own.withColumn("path", F.regexp_replace("path", r"^(file:)?/+", "/"))
+    rel = F.regexp_replace("path", "^" + re.escape("/" + root.removeprefix("file:").strip("/")) + "/", "")
+    return own.select(rel.alias("rel"), "content")
+
+
 def read(spark: SparkSession, root: str, source: str, exclude: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) of all Python files below ``root``.  Files that don't parse are left out with a warning."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.py").load(root)
-    rel = F.regexp_replace("path", r"^(file:)?/*" + root.strip("/").replace(".", r"\.") + "/", "")
-    own = files.select(rel.alias("rel"), "content").withColumn("module", names.module_path(F.col("rel")))
+    own = _files(spark, root).withColumn("module", names.module_path(F.col("rel")))
     parts = F.split("rel", "/")
     own = own.where(~F.arrays_overlap(F.slice(parts, F.lit(1), F.size(parts) - 1), F.array(*map(F.lit, (*EXCLUDED, *exclude)))))
     raw = own.select("rel", "module", "content").mapInPandas(parse_files, _ROW)
     named = raw.where("type <> 'ref'").withColumn("source", F.lit(source)).withColumn("language", F.lit("python")).withColumn("refid", F.col("qualified_name"))
-    nodes = schema.conform(named.withColumn("uid", schema.uid("qualified_name", "argsstring", "position")), schema.NODES)
+    nodes = schema.conform(named.withColumn("uid", schema.uid("qualified_name", names.python_args(F.col("argsstring")), "position")), schema.NODES)
     return nodes, derive(nodes, raw.where("type = 'ref'"), source)
 
 
 def derive(nodes: DataFrame, refs: DataFrame, source: str, sep: str = ".") -> DataFrame:
     """All edges: composition, parameters, files, and what resolving the references gives."""
     qn = nodes.where("type not in ('ParameterNode', 'FileNode')").groupBy("qualified_name").agg(F.min_by("uid", F.struct("ord", "uid")).alias("src_uid"))
+    nodes = nodes.withColumn("ord", F.struct("file_path", "ord"))  # parse order: files by path, then places in them
     child = nodes.where("type not in ('ParameterNode', 'FileNode')").select(F.col("uid").alias("dst_uid"), names.parent_name(F.col("qualified_name"), sep).alias("qualified_name"))
     compose = child.join(qn, "qualified_name").select("src_uid", "dst_uid", F.lit("COMPOSES").alias("rel_type"))
     params = nodes.where("type = 'ParameterNode'").select(F.col("uid").alias("dst_uid"), "position", F.col("member_refid").alias("qualified_name"))
@@ -136,8 +178,9 @@ def derive(nodes: DataFrame, refs: DataFrame, source: str, sep: str = ".") -> Da
     for kind, types in target.items():
         own = refs.where(F.col("ref_kind") == kind).select("qualified_name", "ref").distinct()
         owner = names.parent_name(F.col("qualified_name"), sep)
-        if kind == "INVOKES":  # self.x and cls.x mean members of the owner's class
-            own = own.withColumn("ref", F.regexp_replace("ref", r"^(self|cls)\.", "")).withColumn("scope", owner).where("ref <> ''")
+        if kind == "INVOKES":  # self.x means a member of the owner's class; what hangs on cls or on self.x isn't followed
+            own = own.where(~F.col("ref").isin(*sorted(DENIED_CALLS)) & ~F.col("ref").rlike(r"^cls\.|^self\..*\."))
+            own = own.withColumn("ref", F.regexp_replace("ref", r"^self\.", "")).withColumn("scope", owner).where("ref <> ''")
         else:
             own = own.withColumn("scope", owner)
         own = own.select(F.concat_ws("\u0001", "qualified_name", "ref").alias("ref_id"), F.col("ref").alias("ref_name"), "scope", "qualified_name")
