@@ -23,6 +23,7 @@ ORDERS = (3, 4, 5, 6)
 SLICE = 1 << 17
 _EDGE = 0
 _PART = 1 << 19
+_TOGETHER = 1 << 20
 
 
 @dataclass
@@ -48,19 +49,7 @@ def _hits(cp: np.ndarray, useful: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     edges = np.flatnonzero(edge[keep])
     v = (v[keep] >> np.uint64(20)).astype(np.uint32)
     rows, buckets = [], []
-    g = np.zeros(len(v), np.uint32)
-    for n in range(1, max(ORDERS) + 1):
-        m = len(v) - n + 1
-        if m <= 0:
-            break
-        g = g[:m]
-        g *= np.uint32(0x9E3779B1)
-        g += v[n - 1 :]
-        if n not in ORDERS:
-            continue
-        h = g ^ (g >> np.uint32(15))
-        h *= np.uint32(0x2C1B3C6D + 2 * n)
-        h >>= np.uint32(32 - BITS)
+    for n, h in _orders(v):
         at = np.flatnonzero(useful[h])
         after = np.searchsorted(edges, at, "right")
         within = (after > 0) & (after < len(edges))
@@ -73,21 +62,50 @@ def _hits(cp: np.ndarray, useful: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.concatenate(buckets)
 
 
-def _blank(text: str, at: int) -> int:
-    """The place of the last blank before ``at``; ``at`` itself within a word of over 4096 characters."""
-    if at in (0, len(text)):
-        return at
-    k = at
-    while k > max(0, at - 4096) and text[k - 1].isalnum():
-        k -= 1
-    return k if k > max(0, at - 4096) else at
+def _orders(v: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """For each order n, the buckets of the n-grams that begin at each place."""
+    g = np.zeros(len(v), np.uint32)
+    for n in range(1, max(ORDERS) + 1):
+        m = len(v) - n + 1
+        if m <= 0:
+            return
+        g = g[:m]
+        g *= np.uint32(0x9E3779B1)
+        g += v[n - 1 :]
+        if n in ORDERS:
+            h = g ^ (g >> np.uint32(15))
+            h *= np.uint32(0x2C1B3C6D + 2 * n)
+            h >>= np.uint32(32 - BITS)
+            yield n, h
+
+
+def _long_hits(text: str, useful: np.ndarray) -> np.ndarray:
+    """Distinct useful buckets of one text, slice by slice.
+
+    What n-grams need of the slice before is carried over, so they are those of
+    the whole text wherever it is cut, within words too.
+    """
+    flag = np.zeros(1 << BITS, bool)
+    carry, before = np.zeros(1, np.uint32), False
+    for at in range(0, len(text), SLICE):
+        v = _text._letters()[_text.codepoints(text[at : at + SLICE])]
+        inside = v != 0
+        keep = inside.copy()
+        keep[1:] |= inside[:-1]
+        keep[0] |= before
+        before = bool(inside[-1])
+        own = np.concatenate([carry, (v[keep] >> np.uint64(20)).astype(np.uint32), np.zeros(int(at + SLICE >= len(text)), np.uint32)])
+        for _, h in _orders(own):
+            flag[h] = True
+        carry = own[-(max(ORDERS) - 1) :]
+    return np.flatnonzero(flag & useful).astype(np.uint32)
 
 
 def present(texts: list, useful: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct (text number, bucket) of the n-grams that ``useful`` marks, by text number.
 
-    A text longer than a slice is worked off in slices that overlap, cut at blanks, so
-    that no n-gram is lost.
+    A text longer than a slice is worked off in slices (see `_long_hits`), so that no n-gram
+    is lost or added.
     """
     rows, buckets = [], []
     for i, j in _text.groups(texts, SLICE):
@@ -98,15 +116,9 @@ def present(texts: list, useful: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             rows.append(r + i)
             buckets.append(h)
             continue
-        one = one.replace("\x00", " ")
-        for at in range(0, len(one), SLICE):
-            own = one[_blank(one, max(0, at - 64)) : _blank(one, min(len(one), at + SLICE))]
-            while at + SLICE < len(one) and own and not own[-1].isalnum():  # the edge stands for the blank
-                own = own[:-1]
-            _, h = _hits(_text.codepoints("\x00" + own + "\x00"), useful)
-            h = np.unique(h)
-            buckets.append(h)
-            rows.append(np.full(len(h), i))
+        h = _long_hits(one, useful)
+        buckets.append(h)
+        rows.append(np.full(len(h), i))
     if not rows:
         return np.zeros(0, np.int64), np.zeros(0, np.uint32)
     row, bucket = np.concatenate(rows), np.concatenate(buckets)
@@ -118,7 +130,7 @@ def sample_labelled(docs: DataFrame, labels: DataFrame, most: int, seed: int) ->
     """(text, y) of at most ``most`` labelled documents, the same ones on every run.
 
     Labels without id or verdict are left out; of contradictory labels of one
-    document the toxic one counts; of repeated documents each row counts.
+    document the toxic one counts; of rows that share an id the smallest text counts.
     """
     own = (
         labels.where("doc_id is not null and toxic is not null")
@@ -128,7 +140,7 @@ def sample_labelled(docs: DataFrame, labels: DataFrame, most: int, seed: int) ->
         .limit(most)
     )
     texts = docs.where("text is not null").select("doc_id", "text")
-    return texts.join(F.broadcast(own), "doc_id").select("text", "y")
+    return texts.join(F.broadcast(own), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text")).select("text", "y")
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,7 +150,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
             k = int(y > 0)
-            flag[_hits(_text.codepoints("\x00" + t.replace("\x00", " ") + "\x00"), all_of)[1]] = True
+            flag[present([t], all_of)[1]] = True
             at = np.flatnonzero(flag)
             total[k, at] += 1
             flag[at] = False
@@ -249,8 +261,12 @@ def _fit(feats: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, l2: float, s
 
 
 def logits(texts: list, model: Model) -> np.ndarray:
-    row, bucket = present(texts, model.weight != 0)
-    return model.bias + np.bincount(row, model.weight[bucket].astype(np.float64), len(texts))
+    """Of each text; about `_TOGETHER` characters are looked at together, whatever the number of texts."""
+    out, useful = np.full(len(texts), model.bias), model.weight != 0
+    for i, j in _text.groups(texts, _TOGETHER):
+        row, bucket = present(texts[i:j], useful)
+        out[i:j] += np.bincount(row, model.weight[bucket].astype(np.float64), j - i)
+    return out
 
 
 def scorer(model: Model):

@@ -95,6 +95,69 @@ def test_long_text_keeps_its_ngrams():
     assert whole == set(toxicity.present([text], useful)[1].tolist())
 
 
+def test_long_words_gain_no_ngrams():
+    """However a text is cut, its n-grams are those of the whole; nothing is lost, nothing comes in at a cut."""
+    useful = np.ones(1 << toxicity.BITS, bool)
+    r = random.Random(4)
+    for text in ("ab" * 200_000, "".join(r.choice("abcdefg  .") for _ in range(300_000)), " " * 140_000 + "x", "x" + "." * 140_000, "\x00" * 140_000 + "word"):
+        whole = set(toxicity._hits(_text.codepoints("\x00" + text.replace("\x00", " ") + "\x00"), useful)[1].tolist())
+        assert whole == set(toxicity.present([text], useful)[1].tolist())
+
+
+def test_toxicity_by_brute_force(spark):
+    """Counts, ratios, fit and logits against plain dictionaries and a slow descent."""
+    r = random.Random(12)
+    bad = ["idiot", "scum", "vermin"]
+    rows = []
+    for k in range(240):
+        words = [r.choice(WORDS[:60]) for _ in range(12)]
+        if k % 4 == 0:
+            words[r.randrange(12)] = r.choice(bad)
+        rows.append((k, " ".join(words), int(k % 4 == 0)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, y int")
+    labels = docs.select("doc_id", F.col("y").alias("toxic"))
+    model = toxicity.train(docs, labels, alpha=0.5, least_z=2.0, steps=400)
+
+    def grams(text):  # a blank before and after; any run of other signs is one blank
+        t = " " + re.sub(r"[^a-z0-9]+", " ", text.lower()).strip() + " "
+        return {t[i : i + n] for n in toxicity.ORDERS for i in range(len(t) - n + 1)}
+
+    def bucket(g):
+        v = [int(_text._letters()[ord(c)] >> np.uint64(20)) & 0xFFFFFFFF if c != " " else 0 for c in g]
+        h = 0
+        for x in v:
+            h = (h * 0x9E3779B1 + x) & 0xFFFFFFFF
+        h ^= h >> 15
+        return ((h * (0x2C1B3C6D + 2 * len(g))) & 0xFFFFFFFF) >> (32 - toxicity.BITS)
+
+    held = [{bucket(g) for g in grams(t)} for _, t, _ in rows]
+    y = np.array([v for *_, v in rows], float)
+    n1, n0 = y.sum(), len(y) - y.sum()
+    counts = {}
+    for h, v in zip(held, y):
+        for b in h:
+            counts.setdefault(b, [0, 0])[int(v)] += 1
+    ratio = {b: np.log((c1 + 0.5) / (n1 + 1)) - np.log((c0 + 0.5) / (n0 + 1)) for b, (c0, c1) in counts.items()}
+    ratio = {b: v for b, v in ratio.items() if abs(v) >= 2.0 * np.sqrt(1 / (counts[b][1] + 0.5) + 1 / (counts[b][0] + 0.5))}
+    assert set(np.flatnonzero(model.weight)) <= set(ratio)
+    used = sorted(ratio)
+    x = np.array([[ratio[b] * (b in h) for b in used] for h in held])
+    w, bias = np.zeros(len(used)), float(np.log(y.mean() / (1 - y.mean())))
+    for _ in range(60_000):
+        g = 1 / (1 + np.exp(-(x @ w + bias))) - y
+        w -= 0.05 * (x.T @ g + 1e-3 * w) / len(y)
+        bias -= 0.05 * g.sum() / len(y)
+    slow = x @ w + bias
+
+    def loss(z, w):
+        return np.log1p(np.exp(-np.where(y > 0, z, -z))).sum() + 0.5e-3 * (w**2).sum()
+
+    own = np.array([model.weight[b] / ratio[b] for b in used])
+    fast = toxicity.logits([t for _, t, _ in rows], model)
+    assert np.allclose(fast, model.bias + x @ own, atol=1e-3)
+    assert loss(fast, own) <= loss(slow, w) * 1.05 + 0.05 and ((fast > 0) == (slow > 0)).mean() > 0.99
+
+
 def test_token_counts(spark, odd, none):
     machine, e = token_count.Transducer(), token_count.encoding(token_count.VOCABULARY)
     r = random.Random(3)
