@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from codeloom.llm import decontam, html_text, line_dedup, mixing, simhash, token_count, token_output, toxicity, url_filter, vector_search
 
 
+#: A search takes as queries every row whose id this divides, against all rows.
+QUERY_EVERY = 100
+
+
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
@@ -37,7 +42,7 @@ def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vector_search.neighbours(_read(spark, sf_dir, "embeddings"))
+    return vector_search.neighbours(_read(spark, sf_dir, "embeddings"), queries=F.col("vec_id") % QUERY_EVERY == 0)
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,7 +77,7 @@ WITH v AS (SELECT vec_id, min(embedding::DOUBLE[]) AS e FROM embeddings
            WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND NOT list_has_any(list_transform(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x)), [true])
            GROUP BY vec_id),
 u AS (SELECT * FROM v WHERE len(e) = (SELECT len(e) FROM v GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)),
-p AS (SELECT a.vec_id, b.vec_id AS neighbour_id, list_distance(a.e, b.e) AS dist FROM u a JOIN u b ON a.vec_id <> b.vec_id),
+p AS (SELECT a.vec_id, b.vec_id AS neighbour_id, list_distance(a.e, b.e) AS dist FROM u a JOIN u b ON a.vec_id <> b.vec_id WHERE a.vec_id % {QUERY_EVERY} = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY dist, neighbour_id) AS n FROM p)
 SELECT vec_id, n::INTEGER AS rank, neighbour_id, round(dist, 6) AS distance FROM r WHERE n <= {vector_search.K}""",
     "op8_line_dedup": f"""

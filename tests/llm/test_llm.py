@@ -304,6 +304,35 @@ def test_vector_search(spark):
     assert vector_search.neighbours(df.where("vec_id = 1")).count() == 0
 
 
+def test_vector_search_by_brute_force(spark):
+    """Clusters, copies by the hundred, ties, several passes and several rounds of exact reads."""
+    g = np.random.default_rng(3)
+    m = np.vstack([g.normal(size=(600, 8)), 0.01 * g.normal(size=(500, 8)) + 2, np.repeat(g.normal(size=(2, 8)), 300, axis=0), np.round(g.normal(size=(300, 8)))]).astype(np.float32)
+    ids = g.permutation(10 * len(m))[: len(m)]
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, m)], "vec_id long, embedding array<float>").repartition(7)
+    got = {}
+    for r in vector_search.neighbours(df, 5, F.col("vec_id") % 9 == 0, pass_bytes=50 * 32).collect():
+        got.setdefault(r.vec_id, []).append((r["rank"], r.neighbour_id, r.distance))
+    assert set(got) == {int(i) for i in ids if i % 9 == 0}
+    for q, found in got.items():
+        d = np.sqrt(((m.astype(np.float64) - m[ids == q][0].astype(np.float64)) ** 2).sum(1))
+        order = [k for k in np.lexsort((ids, d)) if ids[k] != q][:5]
+        assert [x for _, x, _ in sorted(found)] == [int(ids[k]) for k in order]
+        assert np.allclose([v for *_, v in sorted(found)], d[order], atol=1e-6)
+
+
+def test_vector_bounds_hold():
+    g = np.random.default_rng(5)
+    m = np.vstack([g.normal(size=(2000, 6)) * [1, 10, 0, 1e-3, 1, 5], [[0, 0, 0, 0, 0, 0]]]).astype(np.float32)
+    lo, hi = m.min(0).astype(np.float64), m.max(0).astype(np.float64)
+    cells = vector_search.Cells(lo, (hi - lo) / vector_search.CELLS)
+    codes = np.clip((m - lo) / np.where(cells.width > 0, cells.width, 1), 0, 255).astype(np.uint8)
+    q = g.normal(size=m.shape) * 3
+    near, far = cells.bounds(q, codes)
+    d = np.sqrt(((q - m) ** 2).sum(1))
+    assert (near <= d).all() and (d <= far).all()
+
+
 def test_line_dedup(spark):
     rows = [(k, f"http://A.test:80/{k}", f"<p>menu</p><p>own {k}</p><p>own {k}</p>") for k in range(20)] + [(50, None, "<p>menu"), (51, "x", None), (None, "http://b.test/", "")]
     got = {r.page_id: r for r in line_dedup.drop_boilerplate(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("lines", F.lit(1))).collect()}
