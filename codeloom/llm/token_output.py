@@ -24,29 +24,32 @@ from codeloom.llm import token_count as tc
 
 BLOCK = 128
 PERCENTILE = 0.9
-STRETCHES = 400_000
+SLICE = 1 << 18
 
 
 class Encoder:
-    """Text to token ids.  Stretches between certain pretoken starts encode alone, so recurring ones are kept."""
+    """Text to token ids; a long text goes in slices that end at certain pretoken starts."""
 
     def __init__(self, path: str):
         self.encode = tc.encoding(path).encode_ordinary
-        self.known: dict[str, bytes] = {}
 
     def ids(self, text: str) -> np.ndarray:
         """Token ids as uint32.  Unpaired surrogates, which UTF-8 can't hold, count as '?'."""
-        found = tc._stretches(text.encode("utf-8", "replace").decode())
-        got = list(map(self.known.get, found))
-        if None in got:
-            for k, x in enumerate(got):
-                if x is None:
-                    got[k] = np.array(self.encode(found[k]), np.uint32).tobytes()
-                    if len(found[k]) <= 40:
-                        self.known[found[k]] = got[k]
-            if len(self.known) > STRETCHES:
-                self.known = {}
-        return np.frombuffer(b"".join(got), np.uint32)
+        text = text.encode("utf-8", "replace").decode()
+        if len(text) <= SLICE:
+            return np.array(self.encode(text), np.uint32)
+        return np.concatenate([np.array(self.encode(x), np.uint32) for x in slices(text)])
+
+
+def slices(text: str, size: int = SLICE) -> Iterator[str]:
+    """A text cut only where a pretoken starts for certain, so the slices' tokens are the text's."""
+    at = 0
+    while at < len(text):
+        to = at + size
+        while to < len(text) and not (text[to] in tc._SPACE and text[to - 1] not in tc._SPACE):
+            to += 1
+        yield text[at:to]
+        at = to
 
 
 @lru_cache(maxsize=1)
