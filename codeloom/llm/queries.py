@@ -50,7 +50,7 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.pieces(_read(spark, sf_dir, "documents"))
+    return mixing.blocks(_read(spark, sf_dir, "documents"))
 
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,21 +87,4 @@ often AS (SELECT host, line, count(*) AS n FROM (SELECT host, unnest(list_distin
 bad AS (SELECT host, list(line) AS bad FROM often JOIN totals USING (host) WHERE n > total * {line_dedup.RATIO} GROUP BY host),
 kept AS (SELECT page_id, cut.host, lines, list_filter(lines, lambda x: NOT list_contains(coalesce(bad, []), x)) AS kept FROM cut LEFT JOIN bad USING (host))
 SELECT page_id, host, coalesce(array_to_string(kept, chr(10)), '') AS text, len(lines)::BIGINT AS n_lines, (len(lines) - len(kept))::BIGINT AS n_dropped FROM kept""",
-    "op9_mixing": f"""
-WITH d AS (
-  SELECT coalesce(source, '') AS source, doc_id, md5('3:' || coalesce(doc_id::VARCHAR, '')) AS h,
-         CASE WHEN coalesce(text, '') = '' THEN 0 ELSE length(text) - length(replace(text, ' ', '')) + 1 END AS words
-  FROM documents),
-s AS (SELECT *, (sum(words) OVER (PARTITION BY source ORDER BY h, doc_id ROWS UNBOUNDED PRECEDING) - words)::BIGINT AS start FROM d),
-size AS (SELECT source, ceil(sum(words) / {mixing.WORDS})::BIGINT AS blocks, pow(sum(words), {mixing.POWER}) AS w FROM d GROUP BY source HAVING sum(words) > 0),
-his AS (SELECT source, blocks, round(sum(w) OVER (ORDER BY source ROWS UNBOUNDED PRECEDING) / sum(w) OVER () * {mixing._CIRCLE})::BIGINT AS hi FROM size),
-spans AS (SELECT source, blocks, coalesce(lag(hi) OVER (ORDER BY source), 0) AS lo, hi FROM his),
-need AS (SELECT max(ceil(blocks * {mixing._CIRCLE}.0 / (hi - lo)) + ceil(64 * {mixing._CIRCLE}.0 / (hi - lo)))::BIGINT AS n FROM spans),
-drawn AS (SELECT t AS slot, (t % 2147483648) * {mixing._GOLDEN} % {mixing._CIRCLE} AS u FROM (SELECT unnest(range((SELECT n FROM need))) AS t)),
-ranked AS (SELECT slot, source, blocks, row_number() OVER (PARTITION BY source ORDER BY slot) - 1 AS rank FROM drawn JOIN spans ON u >= lo AND u < hi),
-slots AS (SELECT slot, source, rank % blocks AS block FROM ranked WHERE slot <= (SELECT max(slot) FROM ranked WHERE rank = blocks - 1)),
-cut AS (SELECT source, doc_id, start, words, unnest(range(start // {mixing.WORDS}, (start + words - 1) // {mixing.WORDS} + 1)) AS block FROM s WHERE words > 0)
-SELECT slot, source, block::BIGINT AS block, doc_id, (greatest(start, block * {mixing.WORDS}) - start)::BIGINT AS from_word,
-       (least(start + words, (block + 1) * {mixing.WORDS}) - greatest(start, block * {mixing.WORDS}))::BIGINT AS n_words
-FROM slots JOIN cut USING (source, block)""",
 }

@@ -339,18 +339,75 @@ def test_line_dedup(spark):
     assert got[3].text == "own 3\nown 3" and got[3].host == "a.test" and got[3].n_dropped == 1 and got[50].text == "menu" and got[51].text == "" and got[None].n_lines == 0
 
 
-def test_mixing(spark, odd, none):
+def _schedule(spans):
+    """The schedule slot by slot: spans is a list of (source, blocks, lo, hi)."""
+    played, out, t = {s: 0 for s, *_ in spans}, [], 0
+    m = min(48, max(int(np.ceil(np.log2((b + 1) * 2.0**48 / (hi - lo)))) for _, b, lo, hi in spans))
+    while any(played[s] < b for s, b, *_ in spans):
+        point = int(f"{t:0{m}b}"[::-1], 2) << (48 - m)
+        s, b = next((s, b) for s, b, lo, hi in spans if lo <= point < hi)
+        out.append((t, s, played[s] % b))
+        played[s], t = played[s] + 1, t + 1
+    return out
+
+
+def test_mixing_by_brute_force(spark):
+    """Schedule, blocks and their joined tokens against plain Python; Chinese texts without blanks fill blocks alike."""
+    r = random.Random(8)
+    docs = [(k, prose(40 + k % 60, k), "a" if k % 10 else "b") for k in range(150)]
+    docs += [(1000 + k, "".join(chr(r.randrange(0x4E00, 0x5000)) for _ in range(600)), "zh") for k in range(10)] + [(5, prose(45, 5), "a"), (None, "null id", None)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string").repartition(3)
+    got = sorted(mixing.blocks(df, block=100).collect(), key=lambda x: x.slot)
+    rows = mixing.coded(df).collect()
+    total = {}
+    for x in rows:
+        total[x.source] = total.get(x.source, 0) + x.n
+    n = {s: -(-v // 100) for s, v in total.items()}
+    w = {s: v**mixing.POWER for s, v in total.items()}
+    share = {s: max(w[s] / sum(w.values()), n[s] / (mixing.LONGEST * sum(n.values()))) for s in w}
+    spans, at = [], 0.0
+    for s in sorted(share):
+        lo, at = round(at / sum(share.values()) * 2**48), at + share[s]
+        spans.append((s, n[s], lo, round(at / sum(share.values()) * 2**48)))
+    assert [(x.slot, x.source, x.block) for x in got] == _schedule(spans)
+    e = token_count.encoding(token_count.VOCABULARY)
+    keys = {x.uid: h for x, h in zip(rows, [r.h for r in spark.createDataFrame([(x.k1, x.k2) for x in rows], "k1 long, k2 int").select(mixing.order_key(3).alias("h")).collect()])}
+    texts = {i: t for i, t, _ in docs}
+    for s in total:
+        own = sorted((x for x in rows if x.source == s), key=lambda x: (keys[x.uid], x.doc_id is not None, x.doc_id or 0, x.k1, x.k2, x.uid))
+        ids = np.concatenate([e.encode_ordinary(texts[x.doc_id]) for x in own])
+        ends = np.cumsum([x.n for x in own])
+        for x in (x for x in got if x.source == s):
+            a, b = 100 * x.block, min(100 * x.block + 100, len(ids))
+            assert np.frombuffer(x.tokens, "<u4").tolist() == ids[a:b].tolist() and x.n_tokens == b - a
+            assert x.doc_ids == [own[k].doc_id for k in range(len(own)) if ends[k] > a and ends[k] - own[k].n < b]
+    assert all(x.n_tokens == 100 or x.block == n[x.source] - 1 for x in got)
+
+
+def test_mixing(spark, odd, none, monkeypatch):
     docs = spark.createDataFrame([(k, prose(50 + k % 40, k), "a" if k % 10 else "b") for k in range(400)], "doc_id long, text string, source string")
-    got = mixing.pieces(docs, {"a": 0.5, "b": 0.5}, block=100).collect()
+    got = mixing.blocks(docs, {"a": 0.5, "b": 0.5}, block=100).collect()
     slots = {r.slot: r.source for r in got}
-    assert {r.doc_id for r in got} == set(range(400)) and abs(sum(s == "a" for s in slots.values()) / len(slots) - 0.5) < 0.02
-    for n in (20, 50, 100, 300):  # low discrepancy at every prefix
+    assert sorted(slots) == list(range(len(got))) and {i for r in got for i in r.doc_ids} == set(range(400))
+    for n in (20, 50, 100, 300, len(got)):  # low discrepancy at every prefix
         assert abs(sum(slots.get(t) == "a" for t in range(n)) - n / 2) <= 3
+    for weights in ({"a": 1, "b": 1e-12}, {"a": 1e-300, "b": 1e300}, {"a": 1, "b": 1e-12, "c": 3}):  # a share too small to play gets the least that does
+        got = mixing.blocks(docs, weights, block=100).collect()
+        assert {i for r in got for i in r.doc_ids} == set(range(400)) and len(got) <= 18 * len({(r.source, r.block) for r in got})
+    got = mixing.blocks(docs, {"a": 1, "b": 0}, block=100).collect()
+    assert {r.source for r in got} == {"a"} and len(got) == len({r.block for r in got})
     out = mixing.mix(docs, {"a": 0.5, "b": 0.5}, block=100).collect()
     assert {r.doc_id for r in out} == set(range(400)) and len(out) > 600
+    assert mixing.blocks(odd).count() > 0
     out = mixing.mix(odd)
     assert out.columns == odd.columns and {r.doc_id for r in out.collect()} == {r.doc_id for r in odd.collect()}
-    assert mixing.pieces(none).count() == 0 and mixing.mix(none).count() == 0
+    assert mixing.blocks(none).count() == 0 and mixing.mix(none).count() == 0
+    monkeypatch.setattr(mixing, "PART", 500)  # many parts, and one that equal rows make too large
+    again = docs.unionByName(spark.createDataFrame([(7, prose(70, 7), "a")] * 200, docs.schema))
+    got = mixing.blocks(again, block=100).collect()
+    first = {(r.source, r.block): r for r in got}
+    assert sum(r.n_tokens for r in first.values()) == sum(r.n for r in mixing.coded(again, ids=False).collect())
+    assert len({r.slot for r in got}) == len(got) and sum(i == 7 for r in first.values() for i in r.doc_ids) >= 201
 
 
 def test_url_filter_on_unseen_sites():
