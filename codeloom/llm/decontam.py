@@ -1,9 +1,10 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
 One scan of the corpus keeps, of each text, only the passages around n-grams
-that a benchmark item may hold, and counts every benchmark word in the whole
-corpus.  N-grams that are rare by those counts join passages to items, and a
-local alignment of words scores each pair.
+that a benchmark item may hold; how wide, follows from the length of the items
+that hold the n-gram.  The n-grams found are counted over the whole corpus, an
+item's rare ones join passages to it, and a local alignment of words scores each
+pair.
 """
 
 from __future__ import annotations
@@ -18,21 +19,20 @@ from pyspark.sql import functions as F
 from codeloom.llm import _store, _text
 
 GRAM = 4
-RARE = 1e-8
+#: An n-gram of an item is a seed if the corpus holds it at most so many times, or in at most this share
+#: of its words, or at most `TIMES` as often as the item's rarest one (an item that has leaked
+#: to many texts has no n-gram that occurs once).
+SEED, RARE, TIMES = 16, 1e-10, 4
 #: An item is found at this score, or at a lower one that chance doesn't reach: at
 #: `LEAST_WORDS` matching words net of edits and `LONG_SCORE`.
 LEAST_SCORE, LONG_SCORE = 0.5, 0.3
 LEAST_WORDS = 8
 MATCH, MISMATCH, GAP = 1, -1, -1
-_MOST_BITS = 30
-
-
-def _bitmap(values: np.ndarray, bits: int) -> np.ndarray:
-    out = np.zeros((1 << bits) // 8, np.uint8)
-    for shift in (0, 32):
-        at = (values >> np.uint64(shift)) & np.uint64((1 << bits) - 1 if bits <= 32 else 0xFFFFFFFF)
-        np.bitwise_or.at(out, (at >> np.uint64(3)).astype(np.int64), (1 << (at & np.uint64(7)).astype(np.uint8)).astype(np.uint8))
-    return out
+#: Bits of a bitmap that is sent to every task, at most (32 MiB).
+_MOST_BITS = 28
+#: Bytes of benchmark items that are sent to every task, at most.
+_MOST_BYTES = 64 << 20
+_SALT = np.uint64(0x9E6C63D0876A9A47)
 
 
 def _maybe(bitmap: np.ndarray, bits: int, values: np.ndarray) -> np.ndarray:
@@ -45,7 +45,10 @@ def _maybe(bitmap: np.ndarray, bits: int, values: np.ndarray) -> np.ndarray:
 
 
 def items(benchmark: DataFrame) -> DataFrame:
-    """(item_id, words binary, n) of the items with at least `GRAM` words; equal rows count once."""
+    """(item_id, words binary, n, cls) of the items with at least `GRAM` words; equal rows count once.
+
+    cls: the item has at most 2^cls words.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -53,107 +56,94 @@ def items(benchmark: DataFrame) -> DataFrame:
             n = np.diff(off)
             at = np.flatnonzero(n >= GRAM)
             own = [h[off[k] : off[k + 1]].tobytes() for k in at]
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), pa.array(own, pa.binary()), pa.array(n[at])], names=["item_id", "words", "n"])
+            cls = np.array([int(x - 1).bit_length() for x in n[at]], np.int32)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), pa.array(own, pa.binary()), pa.array(n[at]), pa.array(cls)], names=["item_id", "words", "n", "cls"])
 
     own = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).distinct()
-    return own.mapInArrow(run, "item_id long, words binary, n long")
+    return own.mapInArrow(run, "item_id long, words binary, n long, cls int")
 
 
-def _grams(words: np.ndarray) -> np.ndarray:
-    return _text.shingles(words, np.array([0, len(words)]), GRAM)[0]
+def _of_class(grams: np.ndarray, cls: int) -> np.ndarray:
+    """The n-grams' hashes, as items of the class hold them."""
+    return _text.mix(grams + np.uint64(int(_SALT) * (cls + 1) & (1 << 64) - 1))
 
 
 def seeds(table: DataFrame) -> DataFrame:
-    """(item_id, gram, at, w: its words) of each n-gram of each item."""
+    """(item_id, cls, gram, own) of each distinct n-gram of each item; own: its hash in the class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i, w in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for i, w, c in zip(*(b.column(k).to_pylist() for k in range(3))):
                 h = np.frombuffer(w, np.uint64)
-                g = _grams(h)
-                own = np.lib.stride_tricks.sliding_window_view(h, GRAM).view(np.int64).tolist()
+                g = np.unique(_text.shingles(h, np.array([0, len(h)]), GRAM)[0])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(g), i)), pa.array(g.view(np.int64)), pa.array(np.arange(len(g))), pa.array(own, pa.list_(pa.int64()))], names=["item_id", "gram", "at", "w"]
+                    [pa.array(np.full(len(g), i)), pa.array(np.full(len(g), c, np.int32)), pa.array(g.view(np.int64)), pa.array(_of_class(g, c).view(np.int64))], names=["item_id", "cls", "gram", "own"]
                 )
 
-    return table.select("item_id", "words").mapInArrow(run, "item_id long, gram long, at long, w array<long>")
+    return table.select("item_id", "words", "cls").mapInArrow(run, "item_id long, cls int, gram long, own long")
 
 
-def _filters(grams: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
-    """Bitmaps of the items' n-grams and of their words, of at most 128 MiB each.
+def _filters(grams: DataFrame) -> tuple[np.ndarray, np.ndarray, int, list[int]]:
+    """Bitmaps of the items' n-grams and of their hashes by class, the bits of each, and the classes.
 
-    Up to a density of 1/32 they grow with the benchmark; beyond the limit they
-    let more through, which the joins then sort out.
+    Up to a density of 1/32 the bitmaps grow with the benchmark; beyond `_MOST_BITS`
+    they let more through, which the joins then sort out.  They are put together
+    by all tasks, a word of 64 bits at a time.
     """
-    n = grams.count()
-    bits = min(_MOST_BITS, max(16, int(np.ceil(np.log2(32 * max(n, 1))))))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        maps = [np.zeros((1 << bits) // 8, np.uint8) for _ in range(2)]
-        for b in batches:
-            maps[0] |= _bitmap(b.column(0).to_numpy().view(np.uint64), bits)
-            maps[1] |= _bitmap(np.unique(b.column(1).flatten().to_numpy().view(np.uint64)), bits)
-        yield pa.RecordBatch.from_arrays([pa.array([m.tobytes()]) for m in maps], names=["g", "w"])
-
-    both = [np.zeros((1 << bits) // 8, np.uint8) for _ in range(2)]
-    for r in grams.select("gram", "w").coalesce(1).mapInArrow(run, "g binary, w binary").collect():
-        both[0] |= np.frombuffer(r.g, np.uint8)
-        both[1] |= np.frombuffer(r.w, np.uint8)
-    return both[0], both[1], bits
-
-
-def passages(docs: DataFrame, grams: DataFrame, longest: int) -> DataFrame:
+    r = grams.agg(F.count("*").alias("n"), F.collect_set("cls").alias("c")).first()
+    bits = min(_MOST_BITS, max(16, int(np.ceil(np.log2(32 * max(r.n, 1))))))
+    maps = []
+    for column in ("gram", "own"):
+        places = F.explode(F.array(*(F.shiftrightunsigned(column, k).bitwiseAND(F.lit((1 << bits) - 1)) for k in (0, 32))))
+        words = grams.select(places.alias("p")).groupBy(F.shiftright("p", 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(p & 63 as int)))").alias("v")).toArrow()
+        full = np.zeros((1 << bits) // 64, np.int64)
+        full[words.column("w").to_numpy()] = words.column("v").to_numpy()
+        maps.append(full.view(np.uint8))
+    return maps[0], maps[1], bits, sorted(r.c)
+
+
+def passages(docs: DataFrame, grams: DataFrame) -> DataFrame:
     """One scan over whole texts.
 
-    Rows with kind 0: (doc_id, k1, k2, p: passage number, words, gs: n-grams,
-    ats: their places in the passage).  Rows with kind 1: (k1: word, n: count).
+    Rows with kind 0: (doc_id, k1, k2, cls, p: passage number, words, gs: n-grams
+    that items of the class may hold).  A passage reaches as far from its n-grams
+    as twice the longest item of its class.  Rows with kind 2: (n: all words).
     """
-    by_gram, by_word, bits = _filters(grams)
-    spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast((by_gram, by_word))
-    names = ["kind", "doc_id", "k1", "k2", "p", "n", "words", "gs", "ats"]
-    schema = "kind int, doc_id long, k1 long, k2 int, p long, n long, words binary, gs array<long>, ats array<long>"
+    by_gram, by_class, bits, classes = _filters(grams)
+    sent = docs.sparkSession.sparkContext.broadcast((by_gram, by_class))
+    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
+    names = ["kind", "doc_id", "k1", "k2", "cls", "p", "n", "words", "gs"]
+    schema = "kind int, doc_id long, k1 long, k2 int, cls int, p long, n long, words binary, gs array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gmap, wmap = sent.value
-        words_of, total = np.zeros(0, np.uint64), 0
-        seen: dict[int, int] = {}
+        gmap, cmap = sent.value
+        total = 0
         for b in batches:
             texts = b.column(3).to_pylist()
             ids, k1, k2 = (b.column(k).to_pylist() for k in range(3))
-            out: list[list] = [[] for _ in range(8)]
             for i, j in _text.groups(texts):
                 h, off = _text.words(texts[i:j])
                 total += len(h)
-                w, c = np.unique(h[_maybe(wmap, bits, h)], return_counts=True)
-                for x, y in zip(w.tolist(), c.tolist()):
-                    seen[x] = seen.get(x, 0) + y
                 g, at = _text.shingles(h, off, GRAM)
                 hit = _maybe(gmap, bits, g)
-                if not len(hit):
-                    continue
-                g, at = g[hit].view(np.int64), at[hit]
-                doc = np.searchsorted(off, at, "right") - 1
-                cut = np.flatnonzero(np.append(True, (np.diff(at) > 2 * longest) | (np.diff(doc) != 0)))
-                for p, (lo, hi) in enumerate(zip(cut, np.append(cut[1:], len(at)))):
-                    d = doc[lo]
-                    first = max(off[d], at[lo] - 2 * longest)
-                    last = min(off[d + 1], at[hi - 1] + 2 * longest + GRAM)
-                    for o, v in zip(out, (ids[i + d], k1[i + d], k2[i + d], int(first - off[d]), h[first:last].tobytes(), g[lo:hi], at[lo:hi] - first)):
-                        o.append(v)
-            m = len(out[0])
-            if m:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([0] * m, pa.int32()), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.int64()), pa.nulls(m, pa.int64()), pa.array(out[4], pa.binary()), pa.array(out[5], pa.list_(pa.int64())), pa.array(out[6], pa.list_(pa.int64()))],
-                    names=names,
-                )
-        keys = np.array([*seen, 0], np.uint64).view(np.int64)
-        m = len(keys)
-        kinds = np.append(np.ones(m - 1, np.int32), np.int32(2))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(kinds), pa.nulls(m, pa.int64()), pa.array(keys), pa.nulls(m, pa.int32()), pa.nulls(m, pa.int64()), pa.array([*seen.values(), total], pa.int64()), pa.nulls(m, pa.binary()), pa.nulls(m, pa.list_(pa.int64())), pa.nulls(m, pa.list_(pa.int64()))],
-            names=names,
-        )
+                g, at = g[hit], at[hit]
+                out: list[list] = [[] for _ in names]
+                for c in classes if len(g) else ():
+                    own = _maybe(cmap, bits, _of_class(g, c))
+                    if not len(own):
+                        continue
+                    reach, v, place = 2 << c, g[own].view(np.int64), at[own]
+                    doc = np.searchsorted(off, place, "right") - 1
+                    cut = np.flatnonzero(np.append(True, (np.diff(place) > 2 * reach) | (np.diff(doc) != 0)))
+                    for lo, hi in zip(cut.tolist(), np.append(cut[1:], len(place)).tolist()):
+                        d = doc[lo]
+                        first, last = max(off[d], place[lo] - reach), min(off[d + 1], place[hi - 1] + reach + GRAM)
+                        row = (0, ids[i + d], k1[i + d], k2[i + d], c, int(first - off[d]), None, h[first:last].tobytes(), np.unique(v[lo:hi]) if hi - lo > 1 else v[lo:hi])
+                        for o, x in zip(out, row):
+                            o.append(x)
+                if out[0]:
+                    yield pa.RecordBatch.from_arrays([pa.array(o, t) for o, t in zip(out, kinds)], names=names)
+        yield pa.RecordBatch.from_arrays([pa.array([2 if n == "kind" else total if n == "n" else None], t) for n, t in zip(names, kinds)], names=names)
 
     own = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), *_store.row_key(), F.col("text").cast("string").alias("text"))
     return own.mapInArrow(run, schema)
@@ -206,21 +196,25 @@ def matches(docs: DataFrame, benchmark: DataFrame, rare: float = RARE, least_sco
     """(doc_id, k1, k2, item_id, score) of each row of ``docs`` and item aligned well enough."""
     table = _store.materialize(items(benchmark), "benchmark-items")
     grams = _store.materialize(seeds(table), "benchmark-grams")
-    longest = table.agg(F.max("n")).first()[0] or GRAM
-    scan = _store.materialize(passages(docs, grams, longest), "benchmark-passages")
-    total = F.greatest(F.lit(1), F.sum(F.when(F.col("kind") == 2, F.col("n"))))
-    words = scan.where("kind = 2").agg(total.alias("total"))
-    counts = scan.where("kind = 1").groupBy(F.col("k1").alias("word")).agg(F.sum("n").alias("c"))
-    spread = grams.select("item_id", "gram", "at", F.explode("w").alias("word"))
-    # a word that the corpus lacks makes an n-gram that no text holds
-    chance = spread.join(counts, "word").crossJoin(words).groupBy("item_id", "gram", "at").agg(F.sum(F.log(F.col("c") / F.col("total"))).alias("l"), F.count("*").alias("k"))
-    chance = chance.where(F.col("k") == GRAM).select("item_id", "gram", (F.col("l") <= float(np.log(rare))).alias("rare"))
-    has_rare = chance.groupBy("item_id").agg(F.max("rare").alias("any"))
-    chosen = chance.join(has_rare, "item_id").where("rare or not any").select("item_id", "gram").distinct()
-    hits = scan.where("kind = 0").select("doc_id", "k1", "k2", "p", F.explode("gs").alias("gram"))
-    pairs = hits.join(chosen, "gram").select("doc_id", "k1", "k2", "p", "item_id").distinct()
-    text = scan.where("kind = 0").select("k1", "k2", "p", F.col("words").alias("passage")).dropDuplicates(["k1", "k2", "p"])
-    both = pairs.join(text, ["k1", "k2", "p"]).join(table.select("item_id", F.col("words").alias("item"), "n"), "item_id")
+    scan = _store.materialize(passages(docs, grams), "benchmark-passages")
+    found = scan.where("kind = 0")
+    key = ["k1", "k2", "cls", "p"]
+    hits = found.select("doc_id", *key, F.explode("gs").alias("gram"))
+    # how many passages of the whole corpus hold each n-gram; every task adds up its own first
+    counts = hits.groupBy("cls", "gram").agg(F.count("*").alias("c"))
+    total = scan.where("kind = 2").agg(F.sum("n").alias("total"))
+    near = grams.join(counts, ["cls", "gram"]).select("item_id", "cls", "gram", "c")
+    least = near.groupBy("item_id").agg(F.min("c").alias("least"))
+    bound = F.greatest(F.lit(SEED), F.col("total") * rare, F.col("least") * TIMES)
+    chosen = near.join(least, "item_id").crossJoin(F.broadcast(total)).where(F.col("c") <= bound).select("item_id", "cls", "gram")
+    chosen = _store.materialize(chosen, "benchmark-seeds")
+    pairs = hits.join(chosen, ["cls", "gram"]).select("doc_id", *key, "item_id").distinct()
+    text = found.select(*key, F.col("words").alias("passage")).dropDuplicates(key)
+    size = table.agg(F.count("*").alias("rows"), F.sum("n").alias("n")).first()
+    own = table.select("item_id", F.col("words").alias("item"), "n")
+    if 64 * size.rows + 8 * (size.n or 0) <= _MOST_BYTES:
+        own = F.broadcast(own)  # else a join by shuffle, which adaptive execution splits where an item is hot
+    both = pairs.join(text, key).join(own, "item_id")
     enough = F.least(F.lit(least_score), F.greatest(F.lit(LEAST_WORDS) / F.col("n"), F.lit(LONG_SCORE)))
     scored = both.select("doc_id", "k1", "k2", "item_id", "item", "passage", enough.alias("enough")).mapInArrow(_score, "doc_id long, k1 long, k2 int, item_id long, score double, enough double")
     return scored.where(F.col("score") >= F.col("enough")).groupBy("doc_id", "k1", "k2", "item_id").agg(F.max("score").alias("score"))
@@ -232,10 +226,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     The score is the best local alignment of words over the item's number of
     words, so 1 is a whole copy.  A score of ``least_score`` is enough, and for
     items of over 16 words one of `LONG_SCORE` that stands for `LEAST_WORDS`
-    words, so that edited copies are found.  Every item and document with an n-gram of
-    `GRAM` words in common that is rare (its words' corpus shares multiply to at
-    most ``rare``) is aligned; an item without such an n-gram takes all its
-    n-grams.  Items or texts of fewer than `GRAM` words, null and empty texts
+    words, so that edited copies are found.  Every item and document with a rare n-gram of
+    `GRAM` words in common is aligned: one that at most `SEED` passages of the
+    corpus hold, or a share of ``rare`` of its words, or at most `TIMES` as many as hold
+    the item's rarest, so that no item is without.  Items or texts of fewer than `GRAM` words, null and empty texts
     and null item ids match nothing.  A null doc_id stays null, repeated rows
     give one result, an empty table on either side gives none; only doc_id,
     item_id and text are looked at.

@@ -201,6 +201,38 @@ def test_decontamination(spark, odd, none):
     assert decontam.leaks(none, bench).count() == 0 and decontam.leaks(docs, bench.where("false")).count() == 0
 
 
+def test_decontamination_by_brute_force(spark):
+    """Every document against every item; a passage that a third of all texts hold stands in an item, and one item is long."""
+    r = random.Random(31)
+    shared = prose(6, 77)
+    items = [(k, prose(r.choice((8, 20, 45)), 700 + k)) for k in range(25)] + [(25, prose(10, 801) + " " + shared + " " + prose(14, 802)), (26, prose(900, 803))]
+    rows = []
+    for k in range(240):
+        t = prose(r.randrange(20, 160), 1100 + k)
+        if k % 3 == 0:
+            t += " " + shared + ", " + prose(20, 1500 + k)
+        if k % 4 == 0:
+            i, x = items[r.randrange(27)]
+            t = t + " " + edit(x, r.choice((0, 0.1, 0.2)), k) + " " + prose(15, 1900 + k)
+        rows.append((k, t))
+    got = {(x.doc_id, x.item_id): x.score for x in decontam.leaks(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    for i, x in items:
+        a = _text.words([x])[0]
+        b = [_text.words([t])[0] for _, t in rows]
+        enough = min(0.5, max(decontam.LEAST_WORDS / len(a), decontam.LONG_SCORE))
+        for (k, _), v in zip(rows, decontam.align(a, b) / len(a)):
+            assert ((k, i) in got) == (v >= enough) and abs(got.get((k, i), v) - v) < 1e-6, (k, i, v)
+    assert len(got) > 50
+
+
+def test_passages_follow_the_item(spark):
+    items = spark.createDataFrame([(0, prose(8, 1)), (1, prose(4000, 2))], "item_id long, text string")
+    docs = spark.createDataFrame([(0, prose(3000, 3) + " " + prose(8, 1) + " " + prose(3000, 4))], "doc_id long, text string")
+    table = decontam.items(items)
+    rows = decontam.passages(docs, decontam.seeds(table)).where("kind = 0").collect()
+    assert [len(x.words) // 8 for x in rows] and max(len(x.words) // 8 for x in rows) <= 2 * 16 + 8
+
+
 def test_decontamination_of_edited_copies(spark):
     items = [(k, prose((18, 30, 38, 55)[k % 4], 5000 + k)) for k in range(100)]
     shares, rows = (0.1, 0.15, 0.2, 0.25, 0.3), [(-1 - k, prose(200, 9000 + k)) for k in range(300)]
