@@ -82,8 +82,8 @@ r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY dist, neighbour_
 SELECT vec_id, n::INTEGER AS rank, neighbour_id, round(dist, 6) AS distance FROM r WHERE n <= {vector_search.K}""",
     "op8_line_dedup": f"""
 WITH {_LINES},
-totals AS (SELECT host, count(*) AS total FROM cut GROUP BY host HAVING count(*) >= {line_dedup.LEAST_PAGES}),
-often AS (SELECT host, line, count(*) AS n FROM (SELECT host, unnest(list_distinct(lines)) AS line FROM cut) GROUP BY host, line HAVING count(*) >= 2),
+totals AS (SELECT host, count(*) AS total FROM cut GROUP BY host),
+often AS (SELECT host, line, count(*) AS n FROM (SELECT host, unnest(list_distinct(lines)) AS line FROM cut) GROUP BY host, line HAVING count(*) >= {line_dedup.LEAST_HOLDING}),
 bad AS (SELECT host, list(line) AS bad FROM often JOIN totals USING (host) WHERE n > total * {line_dedup.RATIO} GROUP BY host),
 kept AS (SELECT page_id, cut.host, lines, list_filter(lines, lambda x: NOT list_contains(coalesce(bad, []), x)) AS kept FROM cut LEFT JOIN bad USING (host))
 SELECT page_id, host, coalesce(array_to_string(kept, chr(10)), '') AS text, len(lines)::BIGINT AS n_lines, (len(lines) - len(kept))::BIGINT AS n_dropped FROM kept""",

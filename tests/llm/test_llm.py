@@ -366,9 +366,21 @@ def test_vector_bounds_hold():
 
 
 def test_line_dedup(spark):
-    rows = [(k, f"http://A.test:80/{k}", f"<p>menu</p><p>own {k}</p><p>own {k}</p>") for k in range(20)] + [(50, None, "<p>menu"), (51, "x", None), (None, "http://b.test/", "")]
-    got = {r.page_id: r for r in line_dedup.drop_boilerplate(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("lines", F.lit(1))).collect()}
-    assert got[3].text == "own 3\nown 3" and got[3].host == "a.test" and got[3].n_dropped == 1 and got[50].text == "menu" and got[51].text == "" and got[None].n_lines == 0
+    schema = "page_id long, url string, html string"
+    rows = [(k, f"http://A.test:80/{k}", f"<p>menu</p><p>own {k}</p><p>own {k}</p>") for k in range(20)] + [(50, None, "<p>menu"), (51, "x", None), (None, "http://b.test/", ""), (None, None, None)]
+    rows += [(60, "http://c.test/1", "<p>a</p><script>var x = '<p>b</p>'"), (61, "http://c.test/2", "<p>" + "word " * 300_000 + "</p><!-- open <p>c</p>"), (62, "http://d.test/", "<p>same")] + [(63, "http://e.test/", "<p>again</p>")] * 3
+    df = spark.createDataFrame(rows, schema).withColumns({"lines": F.lit(1), "host": F.lit("h"), "bad": F.lit("b"), "part": F.lit(0)})
+    for hot in (line_dedup.HOT, 4):
+        found = line_dedup.drop_boilerplate(df, hot=hot).collect()
+        got = {r.page_id: r for r in found}
+        assert len(found) == len(rows)
+        assert got[3].text == "own 3\nown 3" and got[3].host == "a.test" and got[3].n_dropped == 1 and got[50].text == "menu" and got[51].text == "" and got[None].n_lines == 0
+        assert got[60].text == "a" and got[61].n_lines == 1 and len(got[61].text) == 1_499_999 and got[62].text == "same" and got[63].text == ""
+    assert line_dedup.drop_boilerplate(df.where("false")).count() == 0
+    tie = spark.createDataFrame([(k, f"http://t.test/{k}", f"<p>{'half' if k % 2 else 'x'}</p><p>{'three' if k < 3 else 'y'}</p>") for k in range(12)], schema)
+    got = {r.page_id: r.text for r in line_dedup.drop_boilerplate(tie, ratio=0.5).collect()}
+    assert got[1] == "half\nthree" and got[4] == "x"  # at the ratio a line stays; y is on 9 of 12 pages
+    assert {r.page_id: r.text for r in line_dedup.drop_boilerplate(tie, ratio=0.2).collect()} == dict.fromkeys(range(12), "")
 
 
 def _schedule(spans):
