@@ -2,8 +2,8 @@
 
 A page is cut into blocks at block-level tags.  Word count and link density of a
 block and of its two neighbours are the features (Kohlschütter et al., 2010); a
-decision tree, grown here on the small labelled table below, says which blocks
-are content.
+decision tree, grown here on the blocks of the small labelled table, says which
+blocks are content.
 """
 
 from __future__ import annotations
@@ -17,23 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Words and link density of the block before, the block and the block after, and whether it is content.
-LABELLED = [
-    (0, 0.0, 8, 0.0, 1, 1.0, 0), (0, 0.0, 1, 1.0, 1, 1.0, 0), (1, 1.0, 1, 1.0, 1, 1.0, 0), (1, 1.0, 2, 1.0, 1, 1.0, 0), (2, 1.0, 1, 1.0, 3, 1.0, 0),
-    (1, 1.0, 1, 1.0, 9, 0.0, 0), (1, 1.0, 1, 1.0, 14, 0.0, 0), (1, 1.0, 9, 0.0, 7, 0.0, 0), (1, 1.0, 12, 0.0, 10, 0.0, 0), (2, 1.0, 7, 0.0, 5, 0.0, 0),
-    (4, 1.0, 14, 0.5, 6, 0.0, 0), (1, 1.0, 6, 1.0, 20, 0.9, 0), (20, 0.8, 25, 0.7, 18, 0.6, 0), (30, 0.5, 22, 0.6, 4, 1.0, 0), (12, 1.0, 40, 0.8, 3, 0.0, 0),
-    (60, 0.0, 12, 0.0, 0, 0.0, 0), (90, 0.0, 9, 0.0, 0, 0.0, 0), (25, 0.0, 14, 0.0, 0, 0.0, 0), (140, 0.1, 11, 0.2, 0, 0.0, 0), (14, 0.0, 16, 0.1, 0, 0.0, 0),
-    (200, 0.0, 5, 1.0, 4, 1.0, 0), (5, 1.0, 4, 1.0, 3, 0.0, 0), (75, 0.0, 3, 1.0, 2, 1.0, 0), (3, 0.0, 2, 0.5, 0, 0.0, 0), (0, 0.0, 3, 0.0, 0, 0.0, 0),
-    (1, 1.0, 10, 0.0, 9, 0.0, 0), (1, 1.0, 8, 0.0, 11, 0.0, 0), (3, 1.0, 11, 0.3, 8, 0.0, 0), (80, 0.0, 15, 0.0, 0, 0.0, 0), (40, 0.0, 10, 0.0, 0, 0.0, 0),
-    (1, 0.0, 2, 1.0, 60, 0.0, 0), (8, 0.0, 6, 1.0, 80, 0.0, 0), (5, 0.0, 4, 1.0, 120, 0.0, 0), (0, 0.0, 3, 1.0, 40, 0.0, 0), (10, 0.0, 5, 0.9, 150, 0.0, 0),
-    (90, 0.0, 8, 1.0, 30, 0.0, 0), (60, 0.0, 4, 1.0, 90, 0.0, 0), (120, 0.0, 12, 0.8, 70, 0.0, 0), (70, 0.0, 5, 1.0, 14, 0.0, 0), (40, 0.0, 3, 1.0, 60, 0.0, 0),
-    (9, 0.0, 8, 0.0, 60, 0.0, 1), (12, 0.0, 10, 0.0, 120, 0.0, 1), (7, 0.0, 6, 0.0, 45, 0.0, 1), (10, 0.0, 11, 0.0, 33, 0.1, 1), (14, 0.0, 9, 0.0, 200, 0.0, 1),
-    (8, 0.0, 60, 0.0, 80, 0.0, 1), (10, 0.0, 120, 0.0, 90, 0.05, 1), (60, 0.0, 80, 0.0, 70, 0.0, 1), (120, 0.0, 35, 0.0, 60, 0.0, 1), (90, 0.1, 200, 0.05, 150, 0.0, 1),
-    (70, 0.0, 12, 0.0, 80, 0.0, 1), (45, 0.0, 6, 0.0, 120, 0.0, 1), (33, 0.0, 4, 0.0, 90, 0.0, 1), (200, 0.0, 9, 0.1, 70, 0.0, 1), (150, 0.0, 2, 0.0, 40, 0.0, 1),
-    (80, 0.0, 60, 0.1, 12, 0.0, 1), (120, 0.0, 45, 0.0, 14, 0.0, 1), (60, 0.0, 30, 0.2, 9, 0.0, 1), (9, 0.0, 33, 0.0, 15, 0.0, 1), (11, 0.0, 25, 0.0, 10, 0.0, 1),
-    (150, 0.0, 8, 0.0, 12, 0.0, 1), (90, 0.0, 5, 0.0, 10, 0.0, 1), (70, 0.0, 10, 0.0, 14, 0.0, 1), (40, 0.0, 3, 0.0, 11, 0.0, 1), (20, 0.0, 7, 0.0, 9, 0.0, 1),
-    (3, 0.0, 45, 0.0, 0, 0.0, 1), (0, 0.0, 80, 0.0, 0, 0.0, 1), (0, 0.0, 30, 0.1, 25, 0.0, 1), (6, 0.0, 50, 0.0, 3, 1.0, 1), (1, 1.0, 90, 0.1, 60, 0.0, 1),
-]
+from codeloom.llm.html_labels import PAGES, fill
+
 _BLOCK = frozenset(
     "address article aside blockquote body br center dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html li main nav ol option p pre section select table tbody td tfoot th thead title tr ul".split()
 )
@@ -69,7 +54,7 @@ def features(found: list[tuple[str, int, float]]) -> np.ndarray:
     return np.hstack([own[:-2], own[1:-1], own[2:]])
 
 
-def grow(x: np.ndarray, y: np.ndarray, depth: int = 5, least: int = 2) -> list[tuple]:
+def grow(x: np.ndarray, y: np.ndarray, depth: int = 3, least: int = 3) -> list[tuple]:
     """A decision tree by Gini impurity: nodes (feature, threshold, left, right), leaves (-1, share, 0, 0)."""
     nodes: list[tuple] = []
 
@@ -97,9 +82,19 @@ def grow(x: np.ndarray, y: np.ndarray, depth: int = 5, least: int = 2) -> list[t
     return nodes
 
 
-def train(labelled: list[tuple] = LABELLED) -> list[tuple]:
-    table = np.array(labelled, float)
-    return grow(table[:, :6], table[:, 6])
+def labelled(pages: list[list[tuple[int, str]]] = PAGES) -> tuple[np.ndarray, np.ndarray]:
+    """(features, label) of each block of labelled pages."""
+    x, y = [np.zeros((0, 6))], [np.zeros(0)]
+    for page in pages:
+        x.append(features(blocks(fill("".join(html for _, html in page)))))
+        y.append(np.concatenate([np.full(len(blocks(fill(html))), label) for label, html in page]))
+        if len(x[-1]) != len(y[-1]):
+            raise ValueError("a labelled piece of HTML that isn't a block of its own")
+    return np.concatenate(x), np.concatenate(y)
+
+
+def train(pages: list[list[tuple[int, str]]] = PAGES) -> list[tuple]:
+    return grow(*labelled(pages))
 
 
 def classify(tree: list[tuple], x: np.ndarray) -> np.ndarray:
