@@ -39,7 +39,8 @@ _CODED = "source string, doc_id long, k1 long, k2 int, uid long, n long, ids bin
 
 
 def coded(docs: DataFrame, path: str = tc.VOCABULARY, ids: bool = True) -> DataFrame:
-    """(source, doc_id, k1, k2, uid, n, ids) of each row: its number of tokens, and the tokens as 32-bit words if wanted."""
+    """(source, doc_id, k1, k2, uid, n, ids) of each row: its number of tokens, and the tokens as words of `word` if wanted."""
+    kind = word(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = token_output._encoder(path)
@@ -53,7 +54,7 @@ def coded(docs: DataFrame, path: str = tc.VOCABULARY, ids: bool = True) -> DataF
                     size += len(t or "")
                     to += 1
                 n = pa.array([len(x) for x in got], pa.int64())
-                kept = pa.array([x.tobytes() for x in got], pa.binary()) if ids else pa.nulls(len(got), pa.binary())
+                kept = pa.array([x.astype(kind).tobytes() for x in got], pa.binary()) if ids else pa.nulls(len(got), pa.binary())
                 yield pa.RecordBatch.from_arrays([*(whole.column(k).slice(at, to - at) for k in range(5)), n, kept], names=["source", "doc_id", "k1", "k2", "uid", "n", "ids"])
                 at = to
 
@@ -64,6 +65,11 @@ def coded(docs: DataFrame, path: str = tc.VOCABULARY, ids: bool = True) -> DataF
     return own.mapInArrow(run, _CODED)
 
 
+def word(path: str = tc.VOCABULARY) -> str:
+    """The number type of a token id: 16 bits, little-endian, where the vocabulary allows it, else 32."""
+    return "<u2" if tc.encoding(path).n_vocab <= 1 << 16 else "<u4"
+
+
 def order_key(seed: int) -> Column:
     """A row's place in its source's shuffle, 0 to 2^48."""
     return F.shiftrightunsigned(F.xxhash64(F.lit(seed), "k1", "k2"), 64 - _BITS)
@@ -134,7 +140,7 @@ def schedule(spans: DataFrame) -> DataFrame:
     counts = drawn.groupBy("source", "chunk").agg(F.count("*").alias("c"))
     before = counts.select("source", "chunk", (F.sum("c").over(Window.partitionBy("source").orderBy("chunk")) - F.col("c")).alias("before"))
     nth = F.row_number().over(Window.partitionBy("source", "chunk").orderBy("slot")) - 1
-    ranked = drawn.withColumn("nth", nth).join(before, ["source", "chunk"]).select("slot", "source", "blocks", (F.col("nth") + F.col("before")).alias("rank"))
+    ranked = drawn.withColumn("nth", nth).join(before.hint("merge"), ["source", "chunk"]).select("slot", "source", "blocks", (F.col("nth") + F.col("before")).alias("rank"))
     ranked = _store.materialize(ranked, "mix-slots")
     last = ranked.where("rank = blocks - 1").agg(F.max("slot").alias("last"))
     return ranked.join(F.broadcast(last), F.col("slot") <= F.col("last")).select("slot", "source", (F.col("rank") % F.col("blocks")).alias("block"))
@@ -143,14 +149,14 @@ def schedule(spans: DataFrame) -> DataFrame:
 def _placed(slots: DataFrame, parts: DataFrame) -> DataFrame:
     """(slot, source, part, sub, block, i): i is the block's number within its part."""
     each = parts.select("source", "part", "sub", F.posexplode(F.sequence(F.col("first_block"), F.col("first_block") + F.col("blocks") - 1)).alias("i", "block"))
-    return slots.join(each, ["source", "block"])
+    return slots.join(each.hint("merge"), ["source", "block"])  # exploded, and larger than the planner takes it for
 
 
 def blocks(docs: DataFrame, weights: dict[str, float] | None = None, power: float = POWER, block: int = TOKENS, seed: int = 3) -> DataFrame:
     """(slot, source, block, n_tokens, doc_ids, tokens): what each slot of the schedule plays, joined from the documents.
 
-    tokens: ``block`` token ids as 32-bit little-endian words, of the documents
-    doc_ids in this order; a document goes on from one block to the next.  A
+    tokens: ``block`` token ids as words of `word`, of the documents doc_ids in
+    this order; a document goes on from one block to the next.  A
     source is put into blocks in parts of about `PART` tokens, and only the last
     block of a part holds fewer.
     weights: target share of tokens by source; sources without one, and with one
@@ -165,6 +171,7 @@ def blocks(docs: DataFrame, weights: dict[str, float] | None = None, power: floa
     """
     rows = _store.materialize(coded(docs), "mix-coded")
     split, parts = parted(rows, block, seed)
+    size = np.dtype(word()).itemsize
     slots = _placed(schedule(_store.materialize(shares(parts, rows, weights, power), "mix-shares")), parts)
 
     def join(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -176,7 +183,7 @@ def blocks(docs: DataFrame, weights: dict[str, float] | None = None, power: floa
         at = right.column("i").to_numpy() * block
         to = np.minimum(at + block, ends[-1] if len(ends) else 0)
         first, last = np.searchsorted(ends, at, "right"), np.searchsorted(ends, to, "left")
-        out = [[ids[a : b + 1] for a, b in zip(first.tolist(), last.tolist())], [data[4 * a : 4 * b] for a, b in zip(at.tolist(), to.tolist())]]
+        out = [[ids[a : b + 1] for a, b in zip(first.tolist(), last.tolist())], [data[size * a : size * b] for a, b in zip(at.tolist(), to.tolist())]]
         return pa.Table.from_arrays([right.column(c) for c in names[:3]] + [pa.array((to - at).astype(np.int32)), pa.array(out[0], pa.list_(pa.int64())), pa.array(out[1], pa.binary())], names=names)
 
     key = ["source", "part", "sub"]
@@ -201,7 +208,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, power: float =
     starts = split.withColumn("at", at).join(parts, ["source", "part", "sub"]).select("source", (F.col("first_block") + F.floor(F.col("at") / block)).alias("block"), "k1", "k2")
     a, b, n, x, y, slot, nth = _store.fresh(docs.columns, "k1", "k2", "n", "x1", "x2", "slot", "nth")
     # rows of equal key are equal in text: their plays are shared out below
-    plays = slots.join(starts, ["source", "block"]).select(F.col("k1").alias(x), F.col("k2").alias(y), F.col("slot").alias(slot))
+    plays = slots.join(starts.hint("merge"), ["source", "block"]).select(F.col("k1").alias(x), F.col("k2").alias(y), F.col("slot").alias(slot))
     plays = plays.groupBy(x, y).agg(F.sort_array(F.collect_list(slot)).alias(slot))
     k1, k2 = _store.row_key()
     keyed = docs.withColumns({a: k1, b: k2})
