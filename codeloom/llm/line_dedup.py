@@ -11,7 +11,7 @@ RATIO = 0.05
 #: Pages of a host that must hold a line before it can go: two may share one by chance.
 LEAST_HOLDING = 3
 #: Pages of one host that a task gets at most.
-HOT = 20_000
+HOT = 2_000
 #: What ends a line in HTML, once scripts, styles and comments are gone.
 DROP = r"(?is)<script.*?(?:</script>|\z)|<style.*?(?:</style>|\z)|<!--.*?(?:-->|\z)"
 BREAK = r"(?i)</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|footer|form|h[1-6]|head|header|hr|html|li|main|nav|ol|p|pre|section|table|td|th|title|tr|ul)(?:\s[^>]*)?/?>"
