@@ -9,7 +9,9 @@ NODES = """uid string, type string, source string, layer string, tags array<stri
  kind string, file_path string, language string, line_number int, body_start int, body_end int, brief_description string,
  detailed_description string, definition string, argsstring string, type_signature string, protection string, module string,
  base_classes array<string>, is_static boolean, is_const boolean, is_constexpr boolean, is_virtual boolean, is_final boolean,
- is_abstract boolean, member_refid string, position int, default_value string, description string, ord long"""
+ is_abstract boolean, member_refid string, position int, default_value string, description string, compound_refid string, source_type string,
+ is_inline boolean, is_explicit boolean, initializer string, implementation string, impl_embedding array<float>, value string,
+ value_type string, test_name string, test_module string, phase string, operator string, ord long"""
 EDGES = "src_uid string, dst_uid string, dst_name string, rel_type string, source string, included_file string, is_local boolean, position int"
 COMPOUNDS = ("ClassNode", "InterfaceNode", "EnumNode", "UnionNode", "ConceptNode")
 MEMBERS = ("MethodNode", "AttributeNode", "EnumValueNode", "DefineNode", "FunctionNode")
