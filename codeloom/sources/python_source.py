@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from codeloom import schema
 from codeloom.functions import names
-from codeloom.operators import resolve
+from codeloom.operators import resolve, store
+from codeloom.sources import python_tests
 
 EXCLUDED = ("__pycache__", ".git", ".hg", ".svn", ".tox", ".nox", ".venv", "venv", "env", "build", "dist", "node_modules", ".mypy_cache", ".pytest_cache", ".ruff_cache", ".eggs", "site-packages")
 #: Calls by these bare names never mean a parsed symbol: builtins, methods of their types, logging, and common library names.
@@ -30,7 +31,7 @@ DENIED_TYPES = frozenset(
     | set("Any Awaitable Callable Coroutine Dict Ellipsis FrozenSet Generator Iterable Iterator List Literal Mapping MutableMapping NamedTuple None NoneType NotImplemented Optional Protocol Self Sequence Set Tuple Type TypeVar TypedDict Union".split())
 )
 _ENUMS = {"Enum", "IntEnum", "StrEnum", "Flag", "IntFlag"}
-_ROW = "type string, name string, qualified_name string, kind string, file_path string, line_number int, body_start int, body_end int, brief_description string, argsstring string, type_signature string, protection string, base_classes array<string>, is_static boolean, is_abstract boolean, member_refid string, position int, default_value string, ord long, ref string, ref_kind string"
+_ROW = "type string, name string, qualified_name string, kind string, file_path string, line_number int, body_start int, body_end int, brief_description string, argsstring string, type_signature string, protection string, base_classes array<string>, is_static boolean, is_abstract boolean, member_refid string, position int, default_value string, description string, test_name string, test_module string, phase string, operator string, implementation string, ord long, ref string, ref_kind string, how string, obj string"
 
 
 def _text(node: ast.AST | None) -> str:
@@ -45,8 +46,8 @@ def _protection(name: str) -> str:
 class _Reader(ast.NodeVisitor):
     """Rows of one module; references to be resolved are rows of type 'ref'."""
 
-    def __init__(self, path: str, module: str):
-        self.path, self.module, self.rows, self.scope = path, module, [], [module]
+    def __init__(self, path: str, module: str, text: str = ""):
+        self.path, self.module, self.rows, self.scope, self.lines = path, module, [], [module], text.splitlines()
 
     def add(self, label: str, name: str, node: ast.AST | None = None, **more) -> None:
         line = getattr(node, "lineno", None)
@@ -67,6 +68,16 @@ class _Reader(ast.NodeVisitor):
         bases = [_text(b) for b in node.bases]
         short = {b.split("[")[0].rsplit(".", 1)[-1] for b in bases}
         enum, face = bool(short & _ENUMS), bool(short & {"ABC", "Protocol"})
+        if node.name.startswith("Test") and not enum and not face:  # no class of its own: its tests are what counts
+            self.scope.append(f"{self.scope[-1]}.{node.name}")
+            for child in node.body:
+                if isinstance(child, (ast.FunctionDef, ast.AsyncFunctionDef)):
+                    if child.name.startswith("test_"):
+                        python_tests.read_test(self, child, self.lines)
+                    else:
+                        self.visit(child)
+            self.scope.pop()
+            return
         label = "EnumNode" if enum else "InterfaceNode" if face else "ClassNode"
         self.add(label, node.name, node, kind="enum" if enum else "interface" if face else "class", base_classes=bases, brief_description=(ast.get_docstring(node) or "").split("\n")[0], is_abstract=face, protection=_protection(node.name))
         qn = f"{self.scope[-1]}.{node.name}"
@@ -88,9 +99,10 @@ class _Reader(ast.NodeVisitor):
         inside = self.scope[-1] != self.module
         marks = {_text(d).rsplit(".", 1)[-1] for d in node.decorator_list}
         kind = next((k for k in ("property", "classmethod", "staticmethod") if k in marks), "method") if inside else "function"
-        test = not inside and node.name.startswith("test_")
-        label = "TestNode" if test else "MethodNode" if inside else "FunctionNode"
-        self.add(label, node.name, node, kind="test" if test else kind, argsstring=f"({_text(node.args)})", type_signature=_text(node.returns), is_static="staticmethod" in marks, is_abstract="abstractmethod" in marks, brief_description=(ast.get_docstring(node) or "").split("\n")[0], protection=_protection(node.name))
+        if not inside and node.name.startswith("test_"):
+            python_tests.read_test(self, node, self.lines)
+            return
+        self.add("MethodNode" if inside else "FunctionNode", node.name, node, kind=kind, argsstring=f"({_text(node.args)})", type_signature=_text(node.returns), is_static="staticmethod" in marks, is_abstract="abstractmethod" in marks, brief_description=(ast.get_docstring(node) or "").split("\n")[0], protection=_protection(node.name))
         qn = f"{self.scope[-1]}.{node.name}"
         a = node.args
         plain = [*a.posonlyargs, *a.args]
@@ -127,7 +139,7 @@ def parse_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             except (SyntaxError, ValueError) as e:
                 warnings.warn(f"{path}: {e}", stacklevel=1)
                 continue
-            r = _Reader(path, module)
+            r = _Reader(path, module, bytes(content).decode("utf-8", "replace"))
             r.rows.append({"type": "NamespaceNode", "name": module.rsplit(".", 1)[-1], "qualified_name": module, "kind": "namespace", "ord": 0})
             if not path.endswith("__init__.py"):
                 r.rows.append({"type": "FileNode", "name": path.rsplit("/", 1)[-1], "qualified_name": path, "kind": "file", "file_path": path, "ord": 1})
@@ -157,22 +169,25 @@ def read(spark: SparkSession, root: str, source: str, exclude: tuple[str, ...] =
     own = _files(spark, root).withColumn("module", names.module_path(F.col("rel")))
     parts = F.split("rel", "/")
     own = own.where(~F.arrays_overlap(F.slice(parts, F.lit(1), F.size(parts) - 1), F.array(*map(F.lit, (*EXCLUDED, *exclude)))))
-    raw = own.select("rel", "module", "content").mapInPandas(parse_files, _ROW)
+    raw = store.materialize(own.select("rel", "module", "content").mapInPandas(parse_files, _ROW), "python-rows")
     named = raw.where("type <> 'ref'").withColumn("source", F.lit(source)).withColumn("language", F.lit("python")).withColumn("refid", F.col("qualified_name"))
     nodes = schema.conform(named.withColumn("uid", schema.uid("qualified_name", names.python_args(F.col("argsstring")), "position")), schema.NODES)
-    return nodes, derive(nodes, raw.where("type = 'ref'"), source)
+    nodes, refs = store.materialize(nodes.dropDuplicates(["uid"]), "python-nodes"), raw.where("type = 'ref'")
+    edges = derive(nodes, refs, source)
+    more, link = python_tests.derive(nodes.withColumn("ord", F.struct("file_path", "ord")), refs, source)
+    return more, edges.unionByName(link)
 
 
 def derive(nodes: DataFrame, refs: DataFrame, source: str, sep: str = ".") -> DataFrame:
     """All edges: composition, parameters, files, and what resolving the references gives."""
-    qn = nodes.where("type not in ('ParameterNode', 'FileNode')").groupBy("qualified_name").agg(F.min_by("uid", F.struct("ord", "uid")).alias("src_uid"))
+    qn = nodes.where("type not in ('ParameterNode', 'FileNode', 'TestStepNode', 'AssertionNode')").groupBy("qualified_name").agg(F.min_by("uid", F.struct("ord", "uid")).alias("src_uid"))
     nodes = nodes.withColumn("ord", F.struct("file_path", "ord"))  # parse order: files by path, then places in them
-    child = nodes.where("type not in ('ParameterNode', 'FileNode')").select(F.col("uid").alias("dst_uid"), names.parent_name(F.col("qualified_name"), sep).alias("qualified_name"))
+    child = nodes.where("type not in ('ParameterNode', 'FileNode', 'TestStepNode', 'AssertionNode')").select(F.col("uid").alias("dst_uid"), names.parent_name(F.col("qualified_name"), sep).alias("qualified_name"))
     compose = child.join(qn, "qualified_name").select("src_uid", "dst_uid", F.lit("COMPOSES").alias("rel_type"))
     params = nodes.where("type = 'ParameterNode'").select(F.col("uid").alias("dst_uid"), "position", F.col("member_refid").alias("qualified_name"))
     params = params.join(qn, "qualified_name").select("src_uid", "dst_uid", F.lit("HAS_PARAMETER").alias("rel_type"), "position")
     files = nodes.where("type = 'FileNode'").select(F.col("uid").alias("dst_uid"), "file_path")
-    within = nodes.where("type not in ('ParameterNode', 'FileNode')").select(F.col("uid").alias("src_uid"), "file_path").join(files, "file_path").select("src_uid", "dst_uid", F.lit("DEFINED_IN").alias("rel_type"))
+    within = nodes.where("type not in ('ParameterNode', 'FileNode', 'TestStepNode', 'AssertionNode')").select(F.col("uid").alias("src_uid"), "file_path").join(files, "file_path").select("src_uid", "dst_uid", F.lit("DEFINED_IN").alias("rel_type"))
     target = {"INHERITS_FROM": schema.COMPOUNDS, "DEPENDS_ON": schema.COMPOUNDS, "INVOKES": ("MethodNode", "FunctionNode"), "INCLUDES": ("NamespaceNode",)}
     out = schema.conform(compose, schema.EDGES).unionByName(schema.conform(params, schema.EDGES)).unionByName(schema.conform(within, schema.EDGES))
     for kind, types in target.items():
