@@ -22,8 +22,9 @@ def write_graph_json(nodes: DataFrame, edges: DataFrame, path: str) -> None:
 
 
 def write_flat_json(nodes: DataFrame, edges: DataFrame, path: str, source: str) -> None:
-    nodes.write.mode("overwrite").partitionBy("type").json(f"{path}/nodes")
-    edges.write.mode("overwrite").partitionBy("rel_type").json(f"{path}/edges")
+    """A folder for each list; implementations stay out, as do the edges to them."""
+    nodes.where("type <> 'ImplementationNode'").drop("implementation", "impl_embedding").write.mode("overwrite").partitionBy("type").json(f"{path}/nodes")
+    edges.where("rel_type <> 'HAS_IMPLEMENTATION'").write.mode("overwrite").partitionBy("rel_type").json(f"{path}/edges")
     meta = nodes.sparkSession.range(1).select(F.lit(source).alias("source"), F.current_timestamp().alias("generated_at"), F.lit(1).alias("format_version"))
     meta.write.mode("overwrite").json(f"{path}/metadata")
 
