@@ -138,7 +138,7 @@ class GraphTools:
             "name", "qualified_name", "kind", F.col("type_signature").alias("return_type"), "definition", "argsstring", _brief(), F.col("detailed_description").alias("detailed"), "protection", "is_static", "is_const", "is_virtual", "source", "compound_name", "compound_qualified_name", F.coalesce("params", F.array(F.struct(*(F.lit(None).cast(t).alias(c) for c, t in (("position", "int"), ("name", "string"), ("type", "string"), ("default_value", "string")))))).alias("params"),
         )
 
-    def get_function_parameters(self, name: str, class_name: str | None = None) -> DataFrame:
+    def get_function_parameters(self, name: str | None = None, class_name: str | None = None) -> DataFrame:
         own = self._named(self.members().where(F.col("type").isin("MethodNode", "FunctionNode")), name)
         out = own.join(self.owners(), "uid", "left").join(self.parameters(), "uid", "left")
         if class_name is not None:
