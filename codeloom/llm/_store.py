@@ -15,11 +15,13 @@ _written: list[tuple[SparkSession, str]] = []
 def shared_dir(spark: SparkSession) -> str:
     """Folder named in ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests, a laptop) a temporary folder is
-    made and set, so that later calls find the same one.
+    Only where a local session names none (tests, a laptop) a temporary folder is
+    made and set, so that later calls find the same one; on a cluster that is an error.
     """
     own = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
     if not own:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         own = "file://" + tempfile.mkdtemp(prefix="codeloom-")
         spark.conf.set("spark.checkpoint.dir", own)
     return own.rstrip("/")
@@ -36,8 +38,8 @@ def _sweep() -> None:
     for spark, path in _written:
         try:
             _remove(spark, path)
-        except Exception:  # noqa: BLE001 - the session may be gone already
-            return
+        except Exception:  # noqa: BLE001, S112 - the session may be gone, or one folder; the others still go
+            continue
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:

@@ -24,6 +24,7 @@ SLICE = 1 << 17
 _EDGE = 0
 _PART = 1 << 19
 _TOGETHER = 1 << 20
+_BUCKETS = 1 << 16
 
 
 @dataclass
@@ -156,10 +157,17 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             flag[at] = False
             rows[k] += 1
     for k in (0, 1):
-        at = np.flatnonzero(total[k]).astype(np.int32)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([k]), pa.array([int(rows[k])]), pa.array([at.tobytes()]), pa.array([total[k, at].tobytes()])], names=["y", "n", "at", "c"]
-        )
+        for part in range(0, 1 << BITS, _BUCKETS):
+            own = total[k, part : part + _BUCKETS]
+            yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([int(rows[k])]), pa.array([part]), pa.array([own.tobytes()], pa.binary())], names=["y", "n", "part", "c"])
+
+
+def _add(parts: pa.Table) -> pa.Table:
+    """The sum of all tasks' counts of one part of the buckets."""
+    total = np.zeros(_BUCKETS, np.int64)
+    for c in parts.column("c"):
+        total += np.frombuffer(c.as_py(), np.int32)
+    return pa.table({"y": parts.column("y")[:1], "n": pa.array([sum(parts.column("n").to_pylist())]), "part": parts.column("part")[:1], "c": pa.array([total.astype(np.int32).tobytes()], pa.binary())})
 
 
 def train(
@@ -178,19 +186,24 @@ def train(
     most: bound on labelled documents used; alpha: smoothing of the counts;
     least_z: n-grams whose log ratio is nearer to 0 than this many standard
     errors are left out, as their scaled features carry noise only.
-    Without labels of both kinds no text is ever toxic.
+    Without labels of both kinds, or without n-grams that tell them apart, no text is ever toxic.
     """
     sample = _store.materialize(sample_labelled(docs, labels, most, seed), "toxicity-sample")
     total, rows = np.zeros((2, 1 << BITS), np.int64), np.zeros(2, np.int64)
-    for r in sample.coalesce(12).mapInArrow(_count, "y long, n long, at binary, c binary").collect():
-        total[r.y, np.frombuffer(r.at, np.int32)] += np.frombuffer(r.c, np.int32)
-        rows[r.y] += r.n
+    counts = "y long, n long, part long, c binary"
+    for r in sample.coalesce(12).mapInArrow(_count, counts).groupBy("y", "part").applyInArrow(_add, counts).collect():
+        total[r.y, r.part : r.part + _BUCKETS] = np.frombuffer(r.c, np.int32)
+        rows[r.y] = r.n
     weight = np.zeros(1 << BITS, np.float32)
     if not rows.all():
+        _store.discard(sample)
         return Model(weight, -20.0, threshold)
     p, q = (total[1] + alpha) / (rows[1] + 2 * alpha), (total[0] + alpha) / (rows[0] + 2 * alpha)
     ratio = np.log(p / q)
     useful = np.abs(ratio) >= least_z * np.sqrt(1 / (total[1] + alpha) + 1 / (total[0] + alpha))
+    if not useful.any():
+        _store.discard(sample)
+        return Model(weight, -20.0, threshold)
     flags = np.packbits(useful).tobytes()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,11 +214,14 @@ def train(
             got = [x.astype(np.int32).tobytes() for x in np.split(bucket, cuts)]
             yield pa.RecordBatch.from_arrays([b.column(1).cast(pa.int64()), pa.array(got, pa.binary())], names=["y", "at"])
 
-    got = sample.coalesce(12).mapInArrow(encode, "y long, at binary").collect()
+    coded = _store.materialize(sample.coalesce(12).mapInArrow(encode, "y long, at binary"), "toxicity-features")
     _store.discard(sample)
-    feats = [np.frombuffer(r.at, np.int32) for r in got]
-    y = np.array([r.y for r in got], np.float64)
-    del got
+    feats, y = [], []
+    for r in coded.toLocalIterator():  # one file's rows at a time
+        feats.append(np.frombuffer(r.at, np.int32))
+        y.append(r.y)
+    _store.discard(coded)
+    y = np.array(y, np.float64)
     w, bias = _fit(feats, y, ratio, l2, steps)
     weight[:] = w
     return Model(weight, bias, threshold)
@@ -224,23 +240,21 @@ def _fit(feats: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, l2: float, s
     if not size.sum():
         return out, bias
     used = np.unique(np.concatenate([np.unique(np.concatenate(feats[i : i + 500])) for i in range(0, n, 500)]))
-    col = np.empty(size.sum(), np.int32)
-    at = 0
-    for f in feats:
-        col[at : at + len(f)] = np.searchsorted(used, f)
-        at += len(f)
-    feats.clear()
     starts = np.append(0, np.cumsum(size))
     cuts = np.unique(np.append(np.searchsorted(starts, np.arange(0, starts[-1], _PART)), n))
-    parts = [(a, b, slice(starts[a], starts[b])) for a, b in zip(cuts[:-1], cuts[1:])]
+    parts = []
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+        parts.append((a, b, np.searchsorted(used, np.concatenate(feats[a:b])).astype(np.int32)))
+        feats[a:b] = [None] * (b - a)  # a row's features stand in one place only
+    feats.clear()
 
     def by_row(x: np.ndarray) -> np.ndarray:
-        return np.concatenate([np.bincount(np.repeat(np.arange(b - a), size[a:b]), x[col[at]], b - a) for a, b, at in parts])
+        return np.concatenate([np.bincount(np.repeat(np.arange(b - a), size[a:b]), x[col], b - a) for a, b, col in parts])
 
     def by_column(x: np.ndarray) -> np.ndarray:
         out = np.zeros(len(used))
-        for a, b, at in parts:
-            out += np.bincount(col[at], np.repeat(x[a:b], size[a:b]), len(used))
+        for a, b, col in parts:
+            out += np.bincount(col, np.repeat(x[a:b], size[a:b]), len(used))
         return out
 
     scale = ratio[used].astype(np.float32)

@@ -601,3 +601,21 @@ def test_pipeline_by_brute_force(spark):
     assert {r.doc_id for r in got} == left
     texts = {r.doc_id: r.text for r in docs.collect()}
     assert all(e.decode(token_output.unpack(r.payload).tolist()) == texts[r.doc_id] for r in got)
+
+
+def test_pipeline_on_odd_and_empty_tables(spark, odd, none, tmp_path):
+    """Null ids and texts, empty, repeated and very long rows, and no rows at all, through every stage."""
+    columns = "doc_id long, text string, lang string, source string, n_chars int"
+    rows = [(r.doc_id, r.text, None, r.source, 1) for r in odd.collect()]
+    for name, own in (("odd", rows), ("none", [])):
+        d = str(tmp_path / name)
+        spark.createDataFrame(own, columns).write.parquet(f"{d}/documents.parquet")
+        spark.createDataFrame([(5, 0, 0), (8, 1, 1), (None, 1, None)] if own else [], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+        spark.createDataFrame([(0, prose(20, 901)), (None, None), (1, "")] if own else [], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+        docs = spark.read.parquet(f"{d}/documents.parquet")
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            docs = stage(spark, docs, d)
+            assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+        got = corpus_pipeline.run(spark, d).collect()
+        # row 5 stands for its copies; rows without text, tokens or words stay as they are; row 8 is labelled toxic, but is one text
+        assert ({r.doc_id for r in got} - {8} == {None, 1, 2, 3, 4, 5, 6, 7}) if own else not got
