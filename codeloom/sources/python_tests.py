@@ -66,7 +66,7 @@ def read_test(reader, node: ast.FunctionDef | ast.AsyncFunctionDef, lines: list[
         return f"{test}::{name}"
 
     def note(kind: str, owner: str, what: dict, line: int | None = None) -> None:
-        reader.rows.append({"type": "ref", "ref_kind": kind, "qualified_name": owner, "member_refid": test, "line_number": line, "ord": len(reader.rows)} | what)
+        reader.rows.append({"type": "ref", "ref_kind": kind, "qualified_name": owner, "member_refid": test, "file_path": reader.path, "line_number": line, "ord": len(reader.rows)} | what)
 
     for stmt in ast.walk(node):
         if isinstance(stmt, ast.Assign) and (made := _made(stmt)):
