@@ -16,11 +16,11 @@ from pyspark.sql import functions as F
 
 from codeloom import schema
 from codeloom.operators import upsert
-from codeloom.sources import doxygen_xml, python_source, sinks
+from codeloom.sources import doxygen_xml, python_source, reference_pages, sinks
 from codeloom.tools import TOOLS, GraphTools, call, schemas
 
 #: Readers by name, each (spark, folder, source) to (nodes, edges); others are added with `register`.
-READERS: dict[str, Callable[[SparkSession, str, str], tuple[DataFrame, DataFrame]]] = {"python": python_source.read, "xml": doxygen_xml.read}
+READERS: dict[str, Callable[[SparkSession, str, str], tuple[DataFrame, DataFrame]]] = {"python": python_source.read, "xml": doxygen_xml.read, "pages": reference_pages.read}
 
 
 def register(name: str, reader: Callable[[SparkSession, str, str], tuple[DataFrame, DataFrame]]) -> None:
