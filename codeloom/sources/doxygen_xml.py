@@ -239,7 +239,8 @@ def derive(nodes: DataFrame, refs: DataFrame, source: str) -> tuple[DataFrame, D
     edges = link
     for p in parts:
         edges = edges.unionByName(p)
-    return nodes.unionByName(fresh), edges.withColumn("source", F.lit(source)).dropDuplicates(["src_uid", "rel_type", "dst_uid", "dst_name", "position"])
+    edges = edges.withColumn("source", F.lit(source)).dropDuplicates(["src_uid", "rel_type", "dst_uid", "dst_name", "position"])
+    return nodes.unionByName(fresh), store.materialize(edges, "xml-edges")
 
 
 def implement(spark: SparkSession, nodes: DataFrame, base: str) -> tuple[DataFrame, DataFrame]:

@@ -175,7 +175,8 @@ def read(spark: SparkSession, root: str, source: str, exclude: tuple[str, ...] =
     nodes, refs = store.materialize(nodes.dropDuplicates(["uid"]), "python-nodes"), raw.where("type = 'ref'")
     edges = derive(nodes, refs, source)
     more, link = python_tests.derive(nodes.withColumn("ord", F.struct("file_path", "ord")), refs, source)
-    return more, edges.unionByName(link)
+    # written once: whatever reads the graph doesn't resolve it again
+    return store.materialize(more, "python-graph"), store.materialize(edges.unionByName(link), "python-edges")
 
 
 def derive(nodes: DataFrame, refs: DataFrame, source: str, sep: str = ".") -> DataFrame:
